@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, licenses, mixing, quality
+from . import bpe, classifier, html, licenses, mixing, neardup_vectors, ngram_join, pii, quality
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,9 +52,23 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_quality_rules, op3_source_mixing, op7_bpe, op8_license_scan, op9_quality_classifier)
+    for f in (
+        op1_html_extraction,
+        op2_quality_rules,
+        op3_source_mixing,
+        op4_embedding_neardup,
+        op5_ngram_jaccard,
+        op7_bpe,
+        op8_license_scan,
+        op9_quality_classifier,
+        op10_pii,
+    )
 }
 
 SQL: dict[str, str] = {"op2_quality_rules": quality.sql(), "op8_license_scan": licenses.sql()}
