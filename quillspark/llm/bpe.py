@@ -170,7 +170,7 @@ def encode(docs: DataFrame, vocabulary: tuple[dict[bytes, int], PerfectHash], pa
     """Ids and decoded bytes of each text.
 
     ``vocabulary`` (see :func:`tables`) is broadcast: its size is fixed, whatever the corpus.
-    Result: key, ids array<bigint> (left out unless ``with_ids``), n_tokens, ids_sha256,
+    Result: key, ids array<int> (left out unless ``with_ids``), n_tokens, ids_sha256,
     decoded_sha256; a null text counts as empty, a null key stays null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -187,13 +187,13 @@ def encode(docs: DataFrame, vocabulary: tuple[dict[bytes, int], PerfectHash], pa
                 ids_hash.append(sha256(raw).hexdigest())
                 text_hash.append(sha256(codec.decode(ids.tolist())).hexdigest())
                 if with_ids:
-                    all_ids.append(ids.astype(np.int64))
+                    all_ids.append(ids.astype(np.int32))
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             if with_ids:
-                out.append(pa.array(all_ids, pa.list_(pa.int64())))
+                out.append(pa.array(all_ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * with_ids
+    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(key, text).mapInArrow(run, schema)

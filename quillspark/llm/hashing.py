@@ -39,14 +39,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of each row, and for each row the index of its first word.
+    """Hash of each word of each row, and for each row the index of its first word."""
+    return placed_words(data, offsets)[:2]
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`words`, with each word's first byte and the byte after its last.
 
     ``data`` holds the rows' bytes one after another; a word never spans two rows. A-Z
     count as a-z; words are runs of bytes other than ASCII white space.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     solid = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -62,7 +68,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.cumsum(_BYTE[data] * p[:n], out=total[1:])
     inverse = inverses(n + 1)
     h = (total[end] - total[start]) * inverse[start] + size.astype(np.uint64) * U(0xD1B54A32D192ED03)
-    return mix(h), np.searchsorted(start, offsets)
+    return mix(h), np.searchsorted(start, offsets), start, end
 
 
 _inverses = np.ones(1, np.uint64)

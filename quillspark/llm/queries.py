@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, html, licenses, mixing, neardup_vectors, ngram_join, pii, quality
+from . import bpe, classifier, html, licenses, mixing, neardup_vectors, ngram_join, pii, quality, substring
 from .common import table
 
 
@@ -32,6 +32,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its text after removal; ``removed`` marks those that lost sentences."""
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.col("n_removed") > 0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_source_mixing,
         op4_embedding_neardup,
         op5_ngram_jaccard,
+        op6_substring_dedup,
         op7_bpe,
         op8_license_scan,
         op9_quality_classifier,
