@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, smallest
 
 #: Vectors of a tile, about; dimensions accumulated between two bounds.
 TILE, STEPS = 4096, (12, 20, 32)
@@ -99,22 +99,6 @@ def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, thresh
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The smallest index reachable from each of ``n`` nodes."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        np.minimum.at(new, label[i], least)
-        np.minimum.at(new, label[j], least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row of ``vectors``."""
     spark = vectors.sparkSession
@@ -171,7 +155,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
         i, j = _links(xa, xb, ya, yb, threshold, a == b)
         i, j = at_a[i], at_b[j]
         links = np.bincount(i, k[j], len(t)) + np.bincount(j, k[i], len(t))
-        root = _forest(i, j, len(t))
+        root = smallest(i, j, len(t))
         some = np.flatnonzero(links > 0)
         return pa.table({"node": node[some], "links": links[some].astype(np.int64), "to": node[root[some]]})
 

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, slices, text_bytes
+from .common import components, cut, drop, few, slices, text_bytes
 from .hashing import U, mix, shingles, words
 
 K, PERCENT = 5, 80
@@ -42,7 +42,9 @@ PAIR_FRAGMENTS = 4
 #: Keys up to this many (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Pairs a round may list, as a multiple of the prefix rows, before another round of leaders comes first.
-PAIRS_PER_ROW, MOST_ROUNDS = 8, 6
+PAIRS_PER_ROW, MOST_ROUNDS = 1, 4
+#: Leaders of a bucket in a round after the first.
+LEADERS = 8
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,44 +296,61 @@ def _long_enough(percent: int):
 
 
 def _links(entries: DataFrame, segments: DataFrame, percent: int) -> DataFrame | None:
-    """``(node, root)`` of the classes that link with another."""
+    """``(node, root)`` of the classes that link with another.
+
+    Each round goes on with the buckets that still hold several components, and only with those.
+    """
     n_rows = entries.count()
     if not n_rows:
         return None
     links = groups = None
+    # buckets with the same members are one: near copies share most of their prefixes
+    member = F.xxhash64("cls")
+    same = few(entries.groupBy("h").agg(F.count("*").alias("k"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(F.xxhash64("cls", F.lit(1)), 24)).alias("s")), n_rows)
+    same = same.where("k > 1").select("h", F.xxhash64("k", "x", "s").alias("bucket"))
+    rows = few(entries.join(same, "h"), n_rows)
+    rows = cut(few(rows.groupBy(F.col("bucket").alias("h"), "cls", "n", "typical").agg(F.min("place").alias("place")), n_rows))
+    n_rows = rows.count()
+    rows = rows.withColumn("root", F.col("cls"))
+    n_links, last = 0, False
     for turn in range(MOST_ROUNDS + 1):
-        if groups is None:
-            rows = entries.withColumn("root", F.col("cls"))
-        else:
-            rows = entries.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        by_root = rows.groupBy("h", "root").agg(F.count("*").alias("k"), F.min(F.struct(-F.col("typical"), "cls", "n")).alias("first"))
-        buckets = by_root.groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("roots"), F.max(F.struct("k", "first", "root")).alias("main"))
-        buckets = cut(buckets.where("roots > 1").select("h", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), "main.first", F.col("main.root").alias("top")))
+        # leaders: first the most typical set, then several in the order of a hash
+        order = F.struct(-F.col("typical"), F.col("cls")) if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)), F.col("cls"))
+        by_root = few(rows.groupBy("h", "root").agg(F.count("*").alias("k")), n_rows)
+        buckets = few(by_root.groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("roots")), n_rows)
+        buckets = cut(buckets.where("roots > 1").select("h", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")))
         left = buckets.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             drop(buckets)
             break
-        last = left <= PAIRS_PER_ROW * n_rows or turn == MOST_ROUNDS
-        open_ = rows.join(buckets, "h")
+        last = last or left <= PAIRS_PER_ROW * n_rows or turn == MOST_ROUNDS
+        open_ = cut(few(rows.join(buckets.select("h"), "h", "left_semi"), n_rows))
+        y = open_.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
         if last:  # every two sets of a bucket that are in different components
             x = open_.select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
-            y = open_.select("h", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
-            pairs = x.join(y, "h").where((F.col("ra") < F.col("rb")) & _long_enough(percent))
+            pairs = few(x.join(y, "h"), n_rows).where((F.col("ra") < F.col("rb")) & _long_enough(percent))
             # if it is the first n-gram they share, so much can follow
             most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
             pairs = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-        else:  # the leader of the bucket's largest component, and every set of another
-            pairs = open_.where(F.col("root") != F.col("top")).select(F.col("first.cls").alias("a"), F.col("cls").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb")).where(_long_enough(percent))
-        pairs = pairs.select("a", "b", "na", "nb").distinct()
-        found = _verified(pairs, segments, percent)
+        else:  # the leaders, and every set of another component
+            place = F.row_number().over(Window.partitionBy("h").orderBy(order))
+            lead = open_.withColumn("_o", place).where(F.col("_o") <= (1 if turn == 0 else LEADERS))
+            lead = few(lead, n_rows).select("h", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            pairs = few(lead.join(y, "h"), n_rows).where((F.col("ra") != F.col("rb")) & _long_enough(percent))
+        pairs = few(pairs.select("a", "b", "na", "nb").distinct(), n_rows)
+        found = few(_verified(pairs, segments, percent), n_rows)
         new = cut(found if links is None else links.union(found))
-        if links is not None:
-            drop(links)
+        for old in (links, groups, buckets):
+            if old is not None:
+                drop(old)
         links = new
-        drop(buckets)
         groups = cut(components(links))
         if last:
             break
+        last = n_links == (n_links := links.count())  # leaders find nothing more
+        n_rows = open_.count()
+        kept = open_.select("h", "cls", "n", "place", "typical")
+        rows = few(kept.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left"), n_rows).withColumn("root", F.coalesce("root", "cls"))
     return groups
 
 
@@ -352,7 +371,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
         if n_near <= BROADCAST_ROWS:
             near = F.broadcast(near)
         texts = rows.alias("r").join(near.alias("n"), (F.col("r.t") == F.col("n.t")) & F.col("r.key").eqNullSafe(F.col("n.key"))).select("n.cls", "r.text")
-        packed = cut(texts.repartition(max(8, n_frag // 4), "cls").mapInArrow(_pack(k), "block bigint, cls binary, n binary, h binary"))
+        packed = cut(few(texts.repartition(max(8, n_frag // 4), "cls"), 128 * n_near).mapInArrow(_pack(k), "block bigint, cls binary, n binary, h binary"))
         some = max(4, -(-(packed.agg(F.sum(F.length("h"))).first()[0] or 0) // FRAGMENT))
         counted = packed.select("block", "h").mapInArrow(_send_counts(some), "frag int, block bigint, h binary, count binary")
         df = counted.groupBy("frag").applyInArrow(_frequencies, "block bigint, frag int, df binary")
