@@ -1,10 +1,425 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the DuckDB SQL each must match.
+
+The tables stand in for the question bank: a document is a candidate answer, its source the
+prompt, its id the position; the lowest surviving id of a source is the reference.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import candidates, evaluation, formats, judging, overlap, preference, prompts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+SEED = 20260807
+#: The white-space class in RE2's and DuckDB's spelling.
+SPACE = T.SPACE
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+# --- building blocks of the SQL -------------------------------------------------------------
+COMPACT = f"regexp_replace(text, '{SPACE}+', '', 'g')"
+REWARD = f"('0x' || substr(md5({COMPACT}), 1, 4))::int / 4096.0::double"
+CHARS = f"f as materialized (select doc_id, source, text, {COMPACT} as c, length({COMPACT}) as n from documents)"
+
+
+def _each(where: str) -> str:
+    """One row for each character of the texts searched."""
+    return f"ch as materialized (select doc_id, unnest(string_split(c, '')) as x, generate_subscripts(string_split(c, ''), 1) as i from f where n > 0 and {where})"
+
+
+_NEXT = lambda k: f"lead(x, {k}) over (partition by doc_id order by i)"
+GRAMS = f"""ng as materialized (select doc_id, max(k) as m from (select doc_id, s, count(*) as k
+  from (select doc_id, x || {" || ".join(map(_NEXT, range(1, 5)))} as s from ch) where s is not null group by all) group by doc_id)"""
+#: Three copies in a row of ``p`` characters: ``2 * p`` characters on end equal the one ``p`` places on.
+SPANS = f"""eq as (select doc_id, i, unnest([{", ".join(f"case when x = {_NEXT(p)} then {p} end" for p in range(3, 21))}]) as p from ch),
+sp as materialized (select distinct doc_id from (select doc_id, p, i - row_number() over (partition by doc_id, p order by i) as run from eq where p is not null)
+  group by doc_id, p, run having count(*) >= 2 * p)"""
+IN_BAND = "n between 80 and 700"
+VIABLE = f"""with {CHARS}, {_each(IN_BAND)}, {GRAMS}, {SPANS},
+v as (select source as g, doc_id as pos, text, c, {REWARD.replace(COMPACT, "c")} as rw from f join ng using (doc_id)
+      where {IN_BAND} and m < 4 and doc_id not in (select doc_id from sp)),
+r as (select *, min(pos) over (partition by g, c) as gpos, row_number() over (partition by g, c order by rw desc, pos) as rn from v),
+w as materialized (select *, pos = min(pos) over (partition by g) as ref from r where rn = 1)"""
+
+
+def _pairs(chosen: str = "true") -> str:
+    return f"""{VIABLE},
+j as (select c.g, c.pos as cp, x.pos as xp, c.ref, c.rw as crw, x.rw as xrw, c.rw - x.rw as m, c.text as ct, x.text as xt,
+             row_number() over (partition by c.g order by c.ref desc, c.rw desc, c.gpos, c.rw - x.rw, x.gpos) as k
+      from w c join w x on c.g = x.g and c.pos <> x.pos where c.rw - x.rw between 0.5 and 8 and {chosen}),
+p as (select * from j where k = 1),
+cnt as (select g, count(*) as viable from w group by g),
+res as (select s.g, coalesce(viable, 0) as viable, p.m, p.ref from (select distinct source as g from documents) s left join cnt using (g) left join p using (g))"""
+
+
+# --- preference pairs -----------------------------------------------------------------------
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select(
+        F.col("source").alias("prompt_id"), F.col("doc_id").alias("pos"), F.lit(False).alias("is_ref"), F.col("text").alias("answer"), judging.stand_in_reward(F.col("text")).alias("reward")
+    )
+
+
+def unique(spark: SparkSession, d: str) -> DataFrame:
+    """Viable answers once; the lowest id of each source becomes the reference."""
+    rows = preference.deduplicate(preference.viable(scored(spark, d)))
+    first = rows.groupBy("prompt_id").agg(F.min("pos").alias("_first"))
+    return rows.join(first, "prompt_id").withColumn("is_ref", F.col("pos") == F.col("_first")).drop("_first")
+
+
+def results(spark: SparkSession, d: str, fallback: bool = True) -> DataFrame:
+    rows = unique(spark, d)
+    listed = docs(spark, d).select(F.col("source").alias("prompt_id")).distinct()
+    return preference.outcomes(listed, rows, preference.select_pairs(rows, fallback=fallback))
+
+
+def _pair_rows(found: DataFrame) -> DataFrame:
+    return found.where("margin IS NOT NULL").select(
+        "prompt_id", F.col("chosen.pos").alias("chosen_id"), F.col("rejected.pos").alias("rejected_id"), F.col("chosen.reward").alias("chosen_reward"), F.col("rejected.reward").alias("rejected_reward"),
+        F.col("margin").alias("judge_margin"), F.when(F.col("chosen.is_ref"), "sft_reference").otherwise("sft_sample").alias("chosen_source"), F.col("viable").alias("viable_candidate_count"),
+        F.col("chosen.answer").alias("chosen"), F.col("rejected.answer").alias("rejected"),
+    )
+
+
+_PAIR_SQL = """
+select p.g as prompt_id, cp as chosen_id, xp as rejected_id, crw as chosen_reward, xrw as rejected_reward, m as judge_margin,
+       case when ref then 'sft_reference' else 'sft_sample' end as chosen_source, viable::bigint as viable_candidate_count, ct as chosen, xt as rejected
+from p join cnt using (g)"""
+
+
+@query(_pairs() + _PAIR_SQL)
+def preference_pairs(spark, d):
+    return _pair_rows(results(spark, d))
+
+
+@query(_pairs("c.ref") + _PAIR_SQL)
+def preference_pairs_no_fallback(spark, d):
+    return _pair_rows(results(spark, d, fallback=False))
+
+
+_REASON = f"case when m is not null then null when viable < 2 then '{preference.TOO_FEW}' else '{preference.NO_NEGATIVE}' end"
+
+
+@query(_pairs("c.ref") + f" select g as prompt_id, viable::bigint as viable, {_REASON} as reason from res")
+def pair_skip_reasons(spark, d):
+    return results(spark, d, fallback=False).select("prompt_id", "viable", "reason")
+
+
+@query(_pairs() + " select count(m)::bigint as count, round(avg(m), 4) as mean, round(median(m), 4) as median, round(quantile_cont(m, 0.1), 4) as p10, round(quantile_cont(m, 0.9), 4) as p90, round(min(m), 4) as min, round(max(m), 4) as max from p")
+def pair_margin_stats(spark, d):
+    return preference.statistics(results(spark, d).where("margin IS NOT NULL"), "margin")
+
+
+@query(_pairs() + " select case when ref then 'sft_reference' else 'sft_sample' end as chosen_source, count(*)::bigint as n from p group by 1")
+def pair_source_counts(spark, d):
+    return preference.counts_by(_pair_rows(results(spark, d)), "chosen_source")
+
+
+@query(_pairs() + " select count(*)::bigint as selected_prompts, count(m)::bigint as preference_pairs, case when count(*) = 0 then 0.0::double else round(count(m) / count(*), 4) end as retention_rate from res")
+def pair_retention(spark, d):
+    return preference.retention(results(spark, d))
+
+
+@query(VIABLE + " select pos as doc_id, g as source, rw as reward from v")
+def viable_documents(spark, d):
+    return preference.viable(scored(spark, d)).select(F.col("pos").alias("doc_id"), F.col("prompt_id").alias("source"), "reward")
+
+
+@query(VIABLE + " select g as source, pos as doc_id, gpos, rw as reward, ref as is_ref from w")
+def dedup_preferred(spark, d):
+    return unique(spark, d).select(F.col("prompt_id").alias("source"), F.col("pos").alias("doc_id"), "gpos", "reward", "is_ref")
+
+
+# --- text functions and flags ---------------------------------------------------------------
+_FLAGS = f"""with {CHARS}, {_each("true")}, {GRAMS}, {SPANS},
+q as (select doc_id, case when n = 0 then 'empty' else concat_ws(',', case when n < 80 then 'too_short' end, case when n > 700 then 'too_long' end,
+      case when m >= 4 then 'repeated_5gram' end, case when sp.doc_id is not null then 'repeated_span' end) end as flags
+      from f left join ng using (doc_id) left join sp using (doc_id))"""
+
+
+@query(_FLAGS + " select doc_id, flags from q")
+def quality_flags(spark, d):
+    return docs(spark, d).select("doc_id", F.array_join(T.quality_flags(T.compact(F.col("text"))), ",").alias("flags"))
+
+
+@query(_FLAGS + " select unnest(string_split(flags, ',')) as flag, count(*)::bigint as n from q where flags <> '' group by 1")
+def quality_flag_counts(spark, d):
+    flags = docs(spark, d).select(F.explode(T.quality_flags(T.compact(F.col("text")))).alias("flag"))
+    return preference.counts_by(flags, "flag")
+
+
+@query(f"select doc_id, {COMPACT} as compact, length({COMPACT})::int as n from documents")
+def normalize_text(spark, d):
+    c = T.compact(F.col("text"))
+    return docs(spark, d).select("doc_id", c.alias("compact"), F.length(c).alias("n"))
+
+
+OVERLAP = r"lower(regexp_replace(text, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g'))"
+
+
+@query(f"select doc_id, {OVERLAP} as form from documents")
+def overlap_normalize(spark, d):
+    return docs(spark, d).select("doc_id", T.overlap_form(F.col("text")).alias("form"))
+
+
+@query("select doc_id, 'prompt_' || substr(sha1(text), 1, 12) as id from documents")
+def stable_ids(spark, d):
+    return docs(spark, d).select("doc_id", T.stable_id("prompt", F.col("text")).alias("id"))
+
+
+def _sets(name: str, key: str, source: str) -> str:
+    """Distinct trigrams as rows (k, g), and each row's normalised text and set size."""
+    return f"""{name}f as materialized (select {key} as k, {OVERLAP} as form from {source}),
+{name}c as (select k, unnest(string_split(form, '')) as x, generate_subscripts(string_split(form, ''), 1) as i from {name}f where length(form) >= 3),
+{name}g as materialized (select distinct k, g from (select k, x || lead(x, 1) over (partition by k order by i) || lead(x, 2) over (partition by k order by i) as g from {name}c) where g is not null
+  union select k, form from {name}f where length(form) between 1 and 2),
+{name} as materialized (select {name}f.k, count(g) as size from {name}f left join {name}g on {name}f.k = {name}g.k group by 1)"""
+
+
+@query(f"with {_sets('t', 'doc_id', 'documents')} select k as doc_id, size::int as size from t")
+def char_trigram_sizes(spark, d):
+    return overlap.gram_sets(docs(spark, d), "doc_id", "text").select(F.col("key").alias("doc_id"), "size")
+
+
+_POOL = f"""with {_sets('e', 'item_id', 'benchmark')}, {_sets('t', 'doc_id', 'documents')},
+s as (select eg.k as ek, tg.k as tk, count(*) as o from eg join tg using (g) group by all),
+a as (select e.k as eval_key, t.k as train_key, coalesce(o / (e.size + t.size - o), 0)::double as ngram_jaccard
+      from e cross join t left join s on s.ek = e.k and s.tk = t.k),
+r as (select *, row_number() over (partition by eval_key order by ngram_jaccard desc, train_key) as pool_rank from a)"""
+
+
+@query(_POOL + " select eval_key, train_key, ngram_jaccard, pool_rank::int as pool_rank from r where pool_rank <= 20")
+def trigram_jaccard_top20(spark, d):
+    return overlap.pool(*_overlap_sides(spark, d))
+
+
+def _overlap_sides(spark, d):
+    return overlap.gram_sets(table(spark, d, "benchmark"), "item_id", "text"), overlap.gram_sets(docs(spark, d), "doc_id", "text")
+
+
+@query()
+def overlap_top3(spark, d):
+    return overlap.matches(*_overlap_sides(spark, d))
+
+
+@query()
+def overlap_flagged(spark, d):
+    return overlap.flagged(overlap.matches(*_overlap_sides(spark, d)))
+
+
+# --- prompts --------------------------------------------------------------------------------
+def _sample_sql(source: str, key: str, stratum: str, limit: int) -> str:
+    order = f"md5('{SEED}:' || {key}::varchar)"
+    return f"""select {key}, {stratum} from (select *, row_number() over (partition by {stratum} order by {order}, {key}) as turn, {order} as o from {source})
+order by turn, {stratum} nulls last, o limit {limit}"""
+
+
+@query(_sample_sql("documents", "doc_id", "lang", 200))
+def stratified_sample_by_lang(spark, d):
+    return prompts.stratified_sample(docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", 200, SEED)
+
+
+@query(_sample_sql("customer", "c_custkey", "c_mktsegment", 200))
+def stratified_sample_by_segment(spark, d):
+    return prompts.stratified_sample(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 200, SEED)
+
+
+def _turns(spark, d) -> DataFrame:
+    """Each conversation's first user turn and first assistant turn."""
+    t = table(spark, d, "conversations")
+    pick = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
+    return t.groupBy("conv_id").agg(pick("user").alias("question"), pick("assistant").alias("answer"))
+
+
+TURNS = "t as (select conv_id, arg_min(text, turn) filter (role = 'user') as question, arg_min(text, turn) filter (role = 'assistant') as answer from conversations group by conv_id)"
+STRIP = lambda x: f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+@query(f"""with {TURNS} select 'prompt_' || substr(sha1({STRIP('question')}), 1, 12) as prompt_id, {STRIP('question')} as question, {STRIP('answer')} as reference_answer,
+'unknown' as role, '' as category, '' as skill, '' as question_type, '' as difficulty, '' as seniority, 'unknown' as source_type, conv_id::int as source_row
+from t where coalesce({STRIP('question')}, '') <> '' and coalesce({STRIP('answer')}, '') <> ''""")
+def prompt_normalize(spark, d):
+    return prompts.normalise(_turns(spark, d).select("question", "answer", F.col("conv_id").alias("source_row")))
+
+
+@query(f"""with {TURNS} select conv_id::varchar as prompt_id, case when conv_id % 3 = 0 then 'unknown' else 'lead' end as role,
+case when conv_id % 2 = 0 then 'unknown' else 'human_seed' end as source_type from t where coalesce({STRIP('question')}, '') <> '' and coalesce({STRIP('answer')}, '') <> ''""")
+def prompt_defaults(spark, d):
+    rows = _turns(spark, d).select(
+        F.col("conv_id").cast("string").alias("id"), F.lit("").alias("question"), F.col("question").alias("instruction"), F.lit(None).cast("string").alias("answer"), F.col("answer").alias("output"),
+        F.when(F.col("conv_id") % 3 == 0, "").otherwise("lead").alias("role"), F.when(F.col("conv_id") % 2 == 1, "human_seed").alias("source_type"), F.col("conv_id").alias("source_row"),
+    )
+    return prompts.normalise(rows).select("prompt_id", "role", "source_type")
+
+
+@query("select source || '/' || lang as prompt_id, count(*)::bigint as count from documents group by 1 having count(*) > 1")
+def duplicate_prompt_ids(spark, d):
+    return prompts.duplicate_ids(docs(spark, d).select(F.concat("source", F.lit("/"), "lang").alias("prompt_id")))
+
+
+# --- filling and expansion ------------------------------------------------------------------
+def _fill_sides(spark, d):
+    t = _turns(spark, d)
+    id_, short = F.col("conv_id").cast("string").alias("id"), F.col("conv_id") % 2 == 0
+    source = t.select(id_, "question", F.when(short, F.substring("answer", 1, 20)).otherwise(F.col("answer")).alias("answer"))
+    return source, t.where("conv_id % 3 = 0").select(id_, "question", F.concat(F.lit("earlier "), "answer").alias("answer"))
+
+
+FILL = f"""with {TURNS}, src as (select conv_id::varchar as id, question, case when conv_id % 2 = 0 then substr(answer, 1, 20) else answer end as answer from t),
+old as (select conv_id::varchar as id, 'earlier ' || answer as answer from t where conv_id % 3 = 0),
+keep as (select id, arg_min(answer, k) as answer from (select id, answer, 0 as k from src where length({STRIP('answer')}) >= 50 union all select id, answer, 1 from old where length({STRIP('answer')}) >= 50) group by id)"""
+
+
+@query(FILL + " select id, question from src where id not in (select id from keep)")
+def fill_candidates_pending(spark, d):
+    return prompts.pending(*_fill_sides(spark, d)).select("id", "question")
+
+
+@query(FILL + " select src.id, keep.answer, case when keep.answer is null then 'pending' else 'answered' end as status from src left join keep using (id)")
+def fill_merge_priority(spark, d):
+    return prompts.filled(*_fill_sides(spark, d)).select("id", "answer", "status")
+
+
+TEMPS = "(values " + ", ".join(f"({i}, {t}::double, 'sample_t{t:g}_{i}')" for i, t in enumerate(candidates.TEMPERATURES)) + ") x(candidate_index, temperature, candidate_id)"
+
+
+def _prompts(spark, d) -> DataFrame:
+    return docs(spark, d).select(F.col("doc_id").cast("string").alias("prompt_id"), F.col("doc_id").cast("int").alias("source_row"))
+
+
+@query(f"select doc_id::varchar as prompt_id, candidate_id, temperature, {SEED}::bigint + doc_id * 100 + candidate_index as generation_seed from documents cross join {TEMPS} where not (doc_id % 2 = 0 and candidate_index = 0)")
+def candidate_expansion(spark, d):
+    rows, temps = _prompts(spark, d), candidates.temperature_table(spark)
+    done = rows.where("source_row % 2 = 0").crossJoin(F.broadcast(temps.where("candidate_index = 0"))).select("prompt_id", "candidate_id")
+    return candidates.pending(rows, temps, done, SEED).select("prompt_id", "candidate_id", "temperature", "generation_seed")
+
+
+@query(f"select source as prompt_id, doc_id::varchar as candidate_id, {REWARD} as judge_reward from documents where doc_id % 3 <> 0")
+def score_pending(spark, d):
+    log = docs(spark, d).select(F.col("source").alias("prompt_id"), F.col("doc_id").cast("string").alias("candidate_id"), F.col("text").alias("answer"), "doc_id")
+    done = log.where("doc_id % 3 = 0").select("prompt_id", "candidate_id")
+    return judging.score(judging.unscored(log, done)).select("prompt_id", "candidate_id", "judge_reward")
+
+
+# --- formats --------------------------------------------------------------------------------
+@query(f"with {TURNS} select {STRIP('question')} as instruction, '' as input, {STRIP('answer')} as output from t")
+def sft_rows(spark, d):
+    return formats.sft_rows(_turns(spark, d))
+
+
+@query(_pairs() + " select g as instruction, '' as input, ct as chosen, xt as rejected from p")
+def dpo_rows(spark, d):
+    return formats.dpo_rows(_pair_rows(results(spark, d)).withColumnRenamed("prompt_id", "question"))
+
+
+@query(f"with {TURNS} select conv_id, '[{{\"role\":\"user\",\"content\":' || to_json(question)::varchar || '}}]' as messages from t where question is not null")
+def chat_messages(spark, d):
+    return _turns(spark, d).where("question IS NOT NULL").select("conv_id", F.to_json(formats.messages(F.col("question"))).alias("messages"))
+
+
+@query(f"with {TURNS} select conv_id, '<|im_start|>user' || chr(10) || question || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt, 'Question: ' || question || chr(10) || 'Answer: ' || answer as reward_input from t")
+def chatml_prompt(spark, d):
+    return _turns(spark, d).select("conv_id", T.chatml(F.col("question")).alias("prompt"), T.reward_input(F.col("question"), F.col("answer")).alias("reward_input"))
+
+
+@query(f"with {TURNS} select conv_id, '问题：' || coalesce(question, '') || chr(10) || case when conv_id % 2 = 0 then '考察意图：x' || chr(10) else '' end || '回答：' as prompt from t")
+def fill_prompt(spark, d):
+    return _turns(spark, d).select("conv_id", T.fill_prompt(F.col("question"), F.when(F.col("conv_id") % 2 == 0, "x"), F.lit("")).alias("prompt"))
+
+
+@query("with n as (select 'src' || i as name, 'new' as file_name from range(0, 40) r(i)), o as (select distinct source as name, 'old' as file_name from documents) select * from o union all select * from n where name not in (select name from o)")
+def registry_upsert(spark, d):
+    old = docs(spark, d).select(F.col("source").alias("name")).distinct().withColumn("file_name", F.lit("old"))
+    new = spark.range(40).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("name"), F.lit("new").alias("file_name"))
+    return formats.upsert(old, new)
+
+
+# --- evaluation -----------------------------------------------------------------------------
+_LEN = "round(avg(length(text)), 2) as mean_chars, round(median(length(text)), 2) as median_chars, round(quantile_cont(length(text), 0.9), 2) as p90_chars, max(length(text))::int as max_chars"
+
+
+@query(f"select lang, {_LEN} from documents group by lang")
+def length_summary(spark, d):
+    return evaluation.length_summary(docs(spark, d), "text", "lang")
+
+
+@query("select lang, count(*)::bigint as answers, count(*) filter (length(text) between 150 and 300)::bigint as in_150_300, count(*) filter (length(text) between 150 and 450)::bigint as in_150_450, count(*) filter (length(text) <= 550)::bigint as upto_550 from documents group by lang")
+def length_bands(spark, d):
+    return evaluation.length_bands(docs(spark, d), "text", "lang")
+
+
+@query(f"with {CHARS}, {_each('true')}, {GRAMS} select count(*)::bigint as answers, count(*) filter (m >= 4)::bigint as strong, count(*) filter (m >= 8)::bigint as extreme from f left join ng using (doc_id)")
+def repetition_rates(spark, d):
+    return evaluation.repetition(docs(spark, d), "text")
+
+
+@query(f"select lang, count(*)::bigint as answers, count(*) filter (right({STRIP('text')}, 1) in ({', '.join(repr(c) if c != chr(39) else repr(c) for c in T.SENTENCE_ENDS)}))::bigint as natural from documents group by lang")
+def natural_ending(spark, d):
+    return evaluation.natural_endings(docs(spark, d), "text", "lang")
+
+
+def _paired(spark, d) -> DataFrame:
+    """First and last document of each (source, lang), with the stand-in's rewards."""
+    rows = docs(spark, d).withColumn("rw", judging.stand_in_reward(F.col("text")))
+    by = rows.groupBy("source", "lang").agg(F.min_by("rw", "doc_id").alias("rm_base"), F.max_by("rw", "doc_id").alias("rm_sft"))
+    return by.withColumn("id", F.concat("source", F.lit("/"), "lang")).withColumn("delta", F.col("rm_sft") - F.col("rm_base"))
+
+
+PAIRED = f"""b as (select source || '/' || lang as id, arg_min({REWARD}, doc_id) as rm_base, arg_max({REWARD}, doc_id) as rm_sft from documents group by source, lang),
+q as (select *, rm_sft - rm_base as d from b)"""
+
+
+@query(f"with {PAIRED} select count(*)::bigint as pairs, round(avg(rm_base), 4) as base_mean, round(avg(rm_sft), 4) as sft_mean, round(avg(d), 4) as mean_delta, round(avg((d > 0)::double), 4) as sft_win_rate, round(avg((abs(d) <= 1e-6)::double), 4) as tie_rate from q")
+def paired_reward_summary(spark, d):
+    return evaluation.paired(_paired(spark, d))
+
+
+@query(f"""with {PAIRED}, nq as materialized (select row_number() over (order by id) as i, d from q), n as (select count(*) as n from q),
+dr as (select rep, ('0x' || substr(md5('20260803:' || rep || ':' || slot.i), 1, 8))::bigint % n.n + 1 as i from range(0, 5000) r(rep), nq slot, n),
+rp as (select rep, avg(d) as m, avg((d > 0)::double) as w from dr join nq using (i) group by rep)
+select round(quantile_cont(m, 0.025), 4) as mean_delta_ci95_low, round(quantile_cont(m, 0.975), 4) as mean_delta_ci95_high, round(quantile_cont(w, 0.025), 4) as win_rate_ci95_low, round(quantile_cont(w, 0.975), 4) as win_rate_ci95_high from rp""")
+def bootstrap_ci(spark, d):
+    return evaluation.bootstrap(_paired(spark, d), "id", "delta", 20260803)
+
+
+@query(f"with {PAIRED} select id, case when d > 1 then 'High' when d > -1 then 'Mid' else 'Low' end as bucket, printf('%+.2f', d) as score from q".replace("printf('%+.2f', d)", "case when d < 0 then '' else '+' end || printf('%.2f', d)"))
+def score_buckets(spark, d):
+    return _paired(spark, d).select("id", T.score_bucket(F.col("delta")).alias("bucket"), T.score_text(F.col("delta")).alias("score"))
+
+
+@query("select quality, count(*)::bigint as answers, round(avg(length(text)), 2) as mean_chars from documents left join labels using (doc_id) group by quality")
+def labelled_lengths(spark, d):
+    both = docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left")
+    return both.groupBy("quality").agg(F.count("*").alias("answers"), F.round(F.avg(F.length("text")), 2).alias("mean_chars"))
+
+
+@query("select event_id, user_id from events where event_id not in (select event_id from events where event_type = 'click')")
+def log_resume(spark, d):
+    """Keys of an append log that a finished part lacks."""
+    log = table(spark, d, "events")
+    return log.join(log.where("event_type = 'click'").select("event_id"), "event_id", "left_anti").select("event_id", "user_id")
