@@ -168,7 +168,7 @@ def _meet(group: pa.Table) -> pa.Table:
     by = np.argsort(blocks, kind="stable")
     blocks, x, y = blocks[by], x[by], y[by]
     names, starts = np.unique(blocks, return_index=True)
-    ends = np.append(starts[1:], len(blocks))
+    ends = np.append(starts[1:], len(blocks))[: len(names)]
     n = len(names)
     return pa.Table.from_arrays(
         [pa.array(names, pa.int64()), pa.array([x[p:q].tobytes() for p, q in zip(starts, ends, strict=True)], pa.binary()), pa.array([y[p:q].tobytes() for p, q in zip(starts, ends, strict=True)], pa.binary()), pa.array([None] * n, pa.list_(pa.int64())), pa.array([None] * n, pa.list_(pa.string()))],
