@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Fixed value: the default sampling temperatures.
 TEMPERATURES = (0.3, 0.5, 0.7, 0.9, 1.1)
@@ -111,7 +112,7 @@ def complete(rows: DataFrame, client: Callable[[], Callable[[str], str]], prompt
             yield batch.assign(answer=answers, error=errors)
 
     kept = rows.drop("answer", "error")
-    schema = kept.schema.add("answer", "string").add("error", "string")
+    schema = StructType([*kept.schema.fields, StructField("answer", StringType()), StructField("error", StringType())])
     return kept.mapInPandas(run, schema)
 
 
