@@ -62,11 +62,10 @@ def bootstrap(pairs: DataFrame, order: str, delta: str, seed: int, resamples: in
 
     spark = pairs.sparkSession
     numbered = pairs.select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(delta).alias("d"))
-    n = numbered.agg(F.count("*").alias("n"))
-    slots = numbered.select(F.col("i").alias("slot"))
-    draws = spark.range(resamples).withColumnRenamed("id", "rep").crossJoin(F.broadcast(slots)).crossJoin(F.broadcast(n))
+    n = numbered.agg(F.count("*").cast("int").alias("n")).where("n > 0")  # one row
+    slots = spark.range(resamples).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
     index = draw(F.col("n"), F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string"))
-    drawn = draws.select("rep", index.alias("i")).join(F.broadcast(numbered), "i")
+    drawn = slots.select("rep", index.cast("int").alias("i")).join(numbered, "i")
     reps = drawn.groupBy("rep").agg(F.avg("d").alias("m"), F.avg((F.col("d") > 0).cast("double")).alias("w"))
     near = lambda c, q: F.round(F.percentile(c, q), 4)
     return reps.agg(
