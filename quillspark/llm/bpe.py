@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
+from .common import small
+
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
 REMEMBERED = 350_000
 MASK = (1 << 64) - 1
@@ -178,7 +180,7 @@ def encode(docs: DataFrame, vocabulary: tuple[dict[bytes, int], PerfectHash], pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _cached(shared, digest, pattern)
-        for batch in batches:
+        for batch in small(batches):
             n, ids_hash, text_hash, all_ids = [], [], [], []
             for value in batch.column(1):
                 raw = codec.encode_bytes(value.as_py() or "")

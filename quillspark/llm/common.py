@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Views of the batches with fewer rows each, so that results stay small; freed memory goes back."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows holding about ``most`` bytes each, one row at least."""
     i, n = 0, len(offsets) - 1
@@ -164,15 +173,3 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     roots = few(e.select(F.col("b").alias("node")).distinct(), rows).select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-
-
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``f`` to each Arrow batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = f(batch)
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)

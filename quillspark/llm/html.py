@@ -19,6 +19,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small
+
 #: Frequent function words of English, French, German, Spanish, Italian and Portuguese.
 STOP_WORDS = frozenset(
     """
@@ -194,7 +196,7 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
     names = [*keep, "text", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(x.as_py() or "") for x in batch.column(len(keep))]
             out = [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=names)

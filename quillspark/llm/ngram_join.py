@@ -36,7 +36,7 @@ from .hashing import U, mix, shingles, words
 
 K, PERCENT = 5, 80
 #: Bytes of text for each fragment of the order, about; bytes of text a block of rows holds.
-FRAGMENT, BLOCK = 16 << 20, 8 << 20
+FRAGMENT, BLOCK = 12 << 20, 4 << 20
 #: Fragments in which a pair's overlap is counted.
 PAIR_FRAGMENTS = 4
 #: Keys up to this many (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -50,7 +50,7 @@ LEADERS = 8
 def sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of each row, and where each row's begin."""
     parts, starts, at = [], [np.zeros(1, np.int64)], 0
-    for i, j in slices(offsets, 1 << 20):
+    for i, j in slices(offsets, 1 << 19):
         h, first = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         s, begin = shingles(h, first, k)
         parts.append(s)
@@ -135,6 +135,7 @@ def _send(n_frag: int, k: int):
                     cls=cls.astype(np.uint64).tobytes(), n=n.astype(np.int64).tobytes(), shared=shared.astype(np.int64).tobytes(),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in _SENT], schema=_SENT)
+                pa.default_memory_pool().release_unused()
 
     return run
 

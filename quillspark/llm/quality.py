@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD
+from .common import WORD, small
 
 MIN_WORDS, MAX_REPEATED_PERCENT, MAX_LOST_PERCENT, WINDOW = 10, 20, 50, 5
 #: Phrases of site furniture, in lower case.
@@ -105,7 +105,7 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text:
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in names[1:]]
             for value in batch.column(1):
                 for column, x in zip(out, judge(value.as_py() or ""), strict=False):
@@ -122,7 +122,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep, texts = [], []
             for i, value in enumerate(batch.column(at)):
                 *_, kept, cleaned = judge(value.as_py() or "")
