@@ -1,8 +1,11 @@
 """Quality classifier: Naive Bayes log-count ratios under a linear support vector machine.
 
-Indicators of hashed n-grams (four-byte grams, words, word pairs) are scaled by their class
+Indicators of hashed n-grams (four-byte grams, words, word pairs) and of how many of the
+text's word pairs and triples repeat are scaled by their class
 log-count ratios; the linear hinge-loss model over them is fitted by dual coordinate
-descent, and a logistic curve maps its margin to a score from 0 to 1.
+descent, and a logistic curve maps its margin to a score from 0 to 1. The curve is fitted on a
+sample with as many rows of either class; the classes' counts over all labelled rows put
+the prior right.
 
 The fit sees at most :data:`MOST_TRAINING` labelled rows, those with the least hash of their
 key in each class (a documented bound; whole texts). Everything else covers all rows. Null and empty
@@ -24,11 +27,14 @@ from .common import slices, text_bytes
 from .hashing import U, _BASE, mix, words
 
 #: Labelled rows the model is fitted on, half from each class where there are so many.
-MOST_TRAINING = 3000
+MOST_TRAINING = 6000
 BITS = 17
 SMOOTHING, COST, EPOCHS, SEED = 1.0, 1.0, 12, 7
 #: Part of the training rows that the logistic curve is fitted on, one in so many.
 HELD_FOR_CURVE = 5
+#: Shares of repeated pairs and triples that have an indicator, and how often each counts.
+LEVELS, WEIGHT = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8), 8
+SIZE = (3 << BITS) + 2 * len(LEVELS) * WEIGHT
 _MASK = U((1 << BITS) - 1)
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -46,10 +52,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     if n >= 4:
         x = low[: n - 3] | low[1 : n - 2] << 8 | low[2 : n - 1] << 16 | low[3:] << 24
         gram = ((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
+    triple = h[:-2] * U(3) + h[1:-1] * U(5) + h[2:] * _BASE if len(h) > 2 else np.zeros(0, np.uint64)
+    marks = np.arange(2 * len(LEVELS) * WEIGHT, dtype=np.int32) + (3 << BITS)
     out = []
     for i in range(rows):
         a, b, p, q = offsets[i], offsets[i + 1], first[i], first[i + 1]
-        out.append(np.unique(np.concatenate((gram[a : max(a, b - 3)], one[p:q], pair[p : max(p, q - 1)]))))
+        parts = [gram[a : max(a, b - 3)], one[p:q], pair[p : max(p, q - 1)]]
+        if q - p > 2:
+            twice = (h[p + 1 : q] == h[p : q - 1]).mean()
+            again = 1 - len(np.unique(triple[p : q - 2])) / (q - p - 2)
+            for k, share in enumerate((twice, again)):
+                n_levels = sum(share >= x for x in LEVELS)
+                parts.append(marks[k * len(LEVELS) * WEIGHT :][: n_levels * WEIGHT])
+        out.append(np.unique(np.concatenate(parts)))
     return out
 
 
@@ -69,7 +84,7 @@ class Model:
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """Fit on the indicator sets ``rows`` and 0/1 ``labels``."""
-    size = 3 << BITS
+    size = SIZE
     y = np.where(np.asarray(labels) > 0, 1.0, -1.0)
     positive = (y > 0).sum()
     if positive in (0, len(y)):
@@ -136,7 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str, key: str = "doc_id",
     kind = docs.schema[key].dataType.simpleString()
     got = rows.select(key, text, "_y").mapInArrow(run, f"`{key}` {kind}, y int, x binary").collect()
     got.sort(key=lambda r: (str(r[0]), bytes(r[2])))  # the order of arrival must not matter
-    return fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]))
+    model = fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]))
+    sampled = np.bincount([r[1] for r in got], minlength=2)
+    every = dict(named.groupBy("_y").count().collect())
+    if sampled.min() > 0:
+        model.shift += float(np.log(every[1] / every[0]) - np.log(sampled[1] / sampled[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
