@@ -50,8 +50,8 @@ def all_ngrams(text: Column, n: int) -> Column:
 
     def grams(chars: Column) -> Column:
         last = F.size(chars) - (n - 1)
-        found = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(chars, i, n), ""))
-        return F.when(last >= 1, found).otherwise(F.array().cast("array<string>"))
+        joined = F.transform(chars, lambda x, i: F.concat(x, *(F.get(chars, i + k) for k in range(1, n))))
+        return F.when(last >= 1, F.slice(joined, 1, last)).otherwise(F.array().cast("array<string>"))
 
     return bind(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), grams)
 

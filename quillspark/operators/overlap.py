@@ -37,12 +37,11 @@ def pool(evaluation: DataFrame, training: DataFrame, most: int = POOL) -> DataFr
     scored = shared.select("eval_key", "train_key", T.jaccard(F.col("shared"), F.col("eval_size"), F.col("train_size")).alias("ngram_jaccard"))
     rank = F.row_number().over(Window.partitionBy("eval_key").orderBy(F.desc("ngram_jaccard"), "train_key"))
     best = scored.withColumn("pool_rank", rank).where(F.col("pool_rank") <= most).drop("pool_rank")
-    # rows without a common gram: of the first keys, at most as many as a pool holds can be needed
+    # rows without a common gram: if a pool is short, all that share one are in it, and of the
+    # first keys at most as many again can be needed
     spare = training.select(F.col("key").alias("train_key")).orderBy("train_key").limit(2 * most)
-    short = evaluation.select(F.col("key").alias("eval_key")).join(best.groupBy("eval_key").count(), "eval_key", "left")
-    short = short.where(F.coalesce("count", F.lit(0)) < most).select("eval_key")
-    fill = short.crossJoin(F.broadcast(spare)).join(best.select("eval_key", "train_key"), ["eval_key", "train_key"], "left_anti")
-    both = best.unionByName(fill.withColumn("ngram_jaccard", F.lit(0.0)))
+    fill = evaluation.select(F.col("key").alias("eval_key")).crossJoin(F.broadcast(spare)).withColumn("ngram_jaccard", F.lit(0.0))
+    both = best.unionByName(fill).groupBy("eval_key", "train_key").agg(F.max("ngram_jaccard").alias("ngram_jaccard"))
     return both.withColumn("pool_rank", rank).where(F.col("pool_rank") <= most)
 
 
