@@ -212,19 +212,33 @@ def test_classifier_separates_held_out_rows(spark):
     assert classifier.score(docs, single).agg(F.min("score")).first()[0] > 0.5
 
 
-def test_pipeline_runs_every_stage(spark, tmp_path):
+def test_pipeline_equals_plain_python_stage_by_stage(spark, tmp_path):
     import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
 
     prose = "The cat sat on the mat and looked at the dog that ran by the old house near the river."
-    rows = [(i, f"{prose} Number {i} writes to a{i}@b.example about the {'very ' * (i % 5)}long day number {i * 7} of the {i * 13} year.", "s1" if i % 2 else "s2") for i in range(40)] + [(90, "short"), (91, None)]
+    rows = [(i, f"{prose} Number {i} writes to a{i}@b.example about the {'very ' * (i % 5)}long day number {i * 7} of the {i * 13} year.", "s1" if i % 2 else "s2") for i in range(40)]
+    rows += [(40 + i, corpus(9, 30)[i][1] + ". Mail x@y.example now.", "s3") for i in range(30)]
+    rows += [(90, "short"), (91, None), (92, "Home | News | About | Help | More | Shop | Blog | Jobs | Press | Terms | Mail")]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet")).select(*corpus_pipeline.COLUMNS)
     seen = []
     for _, stage in corpus_pipeline.STAGES:
         docs = common.cut(stage(spark, docs, str(tmp_path)))
         seen.append(docs)
-    assert {r.doc_id for r in seen[0].collect()} == set(range(40))
     assert all(x.columns == corpus_pipeline.COLUMNS for x in seen[:-1])
-    assert seen[2].where("text LIKE '%@%'").count() == 0
-    assert seen[4].count() == seen[3].count()
-    assert all(r.n_tokens == len(r.ids) for r in seen[4].collect())
+    first, second, third = ({r.doc_id: r.text for r in x.collect()} for x in seen[:3])
+    assert set(range(40)) <= set(first) and not {90, 91, 92} & set(first)
+    sets, ids = {i: brute.shingles(t) for i, t in first.items()}, sorted(first)
+    links = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert second == {i: first[i] for i, c in brute.classes(ids, links).items() if i == c}
+    for i, text in second.items():
+        for s, k, e in reversed(brute.base_spans(text)):
+            text = text[:s] + f"<{brute.KINDS[k]}>" + text[e:]
+        assert third[i] == text
+    mixed = seen[3].collect()
+    assert all(r.text == third[r.doc_id] and r.n_chars == len(r.text) for r in mixed)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = sorted((r.doc_id, known.encode_ordinary(r.text)) for r in mixed)
+    assert sorted((r.doc_id, list(r.ids)) for r in seen[4].collect()) == want
