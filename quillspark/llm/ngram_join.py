@@ -199,7 +199,7 @@ def _sum_block(percent: int):
 
 
 def _pack(k: int):
-    """Texts of classes to packed blocks of sets."""
+    """Texts of classes, one each, to packed blocks of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _block_ids()
@@ -208,11 +208,8 @@ def _pack(k: int):
             cls = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets, BLOCK):
                 h, begin = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                _, first = np.unique(cls[i:j], return_index=True)
-                first.sort()
-                h = np.concatenate([h[begin[x] : begin[x + 1]] for x in first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([next(ids)]), pa.array([cls[i:j][first].astype(np.int64).tobytes()]), pa.array([np.diff(begin)[first].astype(np.int64).tobytes()]), pa.array([h.tobytes()])],
+                    [pa.array([next(ids)]), pa.array([cls[i:j].astype(np.int64).tobytes()]), pa.array([np.diff(begin).astype(np.int64).tobytes()]), pa.array([h.tobytes()])],
                     names=["block", "cls", "n", "h"],
                 )
 
@@ -372,7 +369,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
         if n_near <= BROADCAST_ROWS:
             near = F.broadcast(near)
         texts = rows.alias("r").join(near.alias("n"), (F.col("r.t") == F.col("n.t")) & F.col("r.key").eqNullSafe(F.col("n.key"))).select("n.cls", "r.text")
-        packed = cut(few(texts.repartition(max(8, n_frag // 4), "cls"), 128 * n_near).mapInArrow(_pack(k), "block bigint, cls binary, n binary, h binary"))
+        # a row that repeats key and text is met as often as it stands: one text a class, dropped before the shuffle too
+        texts = texts.dropDuplicates(["cls"])
+        packed = cut(few(texts, 128 * n_near).mapInArrow(_pack(k), "block bigint, cls binary, n binary, h binary"))
         some = max(4, -(-(packed.agg(F.sum(F.length("h"))).first()[0] or 0) // FRAGMENT))
         counted = packed.select("block", "h").mapInArrow(_send_counts(some), "frag int, block bigint, h binary, count binary")
         df = counted.groupBy("frag").applyInArrow(_frequencies, "block bigint, frag int, df binary")

@@ -48,6 +48,25 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngram_join.near_duplicates(frame(spark, rows)).count() == len(rows)
 
 
+def test_repeated_rows_in_different_slices_count_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = []
+    for g in range(6):
+        x, y, z = (" ".join(f"{c}{g}_{i}" for i in range(40)) for c in "xyz")
+        # Jaccard of every two: 36 / 116
+        rows += 2 * [(10 * g, f"{x} {y}"), (10 * g + 1, f"{y} {z}"), (10 * g + 2, f"{z} {x}")]
+    try:
+        spark.conf.set(key, "1")  # one slice a row
+        got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+        kept = ngram_join.one_of_each(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(rows)
+    assert all(r.component_id == r.doc_id for r in got)
+    assert sorted(r.doc_id for r in kept) == sorted({i for i, _ in rows})
+
+
 def test_one_of_each_keeps_rows_without_words_and_all_columns(spark):
     kept = ngram_join.one_of_each(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "x y")]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
