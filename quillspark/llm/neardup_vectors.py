@@ -102,7 +102,8 @@ def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, thresh
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row of ``vectors``."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).alias("_key"), F.col(column).cast("array<double>").alias("_x"))
+    # -0.0 becomes 0.0: groups take both as equal, the bytes that name a node do not
+    rows = vectors.select(F.col(key).alias("_key"), F.transform(F.col(column).cast("array<double>"), lambda c: c + F.lit(0.0)).alias("_x"))
     ok = F.coalesce(F.col("_x").isNotNull() & ~F.exists("_x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("_x", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("_ok", ok)
     common = rows.where("_ok").groupBy(F.size("_x").alias("d")).count().orderBy(F.desc("count"), "d").first()

@@ -110,6 +110,12 @@ def test_vectors_equal_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in (900, 901, 902, 903))
 
 
+def test_vectors_with_negative_zero_stay(spark):
+    rows = [(1, [1.0, -0.0, 0.5]), (2, [1.0, 0.0, 0.5]), (3, [-0.0, 1.0, -0.0]), (4, [-0.0, 0.0, -0.0])]
+    got = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", "c"])) for i in range(3000)] + [(5000, None, None), (5001, "x y", None), (5002, "", "zero")]
