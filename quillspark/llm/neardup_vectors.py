@@ -13,8 +13,8 @@ vector's number of links and a spanning forest, never the list of all links, so
 of near copies costs rows in proportion to its size. The work is quadratic in the number of
 different vectors that lie close along the first axis.
 
-Vectors that are null, zero, or hold null or non-finite components link with nothing, and
-so do vectors of another length than the most frequent one. Rows that repeat an id with the
+Vectors that are null, zero, or hold null or non-finite components link with nothing.
+Vectors of different lengths never link: each length that two rows have is compared by itself. Rows that repeat an id with the
 same vector count as links of each other; their ``vec_id`` is one node.
 A null id stays null and is never a component's smallest id unless it is alone.
 """
@@ -101,20 +101,25 @@ def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, thresh
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row of ``vectors``."""
-    spark = vectors.sparkSession
     # -0.0 becomes 0.0: groups take both as equal, the bytes that name a node do not
     rows = vectors.select(F.col(key).alias("_key"), F.transform(F.col(column).cast("array<double>"), lambda c: c + F.lit(0.0)).alias("_x"))
     ok = F.coalesce(F.col("_x").isNotNull() & ~F.exists("_x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("_x", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("_ok", ok)
-    common = rows.where("_ok").groupBy(F.size("_x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    kind = vectors.schema[key].dataType.simpleString()
-    alone = rows.select(F.col("_key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return alone
-    dim = common[0]
-    good = F.col("_ok") & (F.size("_x") == dim)
+    lengths = rows.where("_ok").groupBy(F.size("_x").alias("d")).count().where("count > 1").orderBy("d").collect()
+    dims = [r[0] for r in lengths]
+    good = (F.col("_ok") & F.size("_x").isin(dims)) if dims else F.lit(False)
+    out = rows.where(~good).select(F.col("_key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in dims:
+        out = out.union(_same_length(rows.where(F.col("_ok") & (F.size("_x") == dim)), key, dim, threshold, tile))
+    return out
+
+
+def _same_length(rows: DataFrame, key: str, dim: int, threshold: float, tile: int) -> DataFrame:
+    """``(key, n_links, component_id, kept)`` for rows ``(_key, _x)`` of usable vectors, all ``dim`` long."""
+    spark = rows.sparkSession
+    kind = rows.schema["_key"].dataType.simpleString()
     # equal vectors once: smallest id, how many rows
-    once = cut(rows.where(good).groupBy("_x").agg(F.min("_key").alias("rep"), F.count("*").alias("k")))
+    once = cut(rows.groupBy("_x").agg(F.min("_key").alias("rep"), F.count("*").alias("k")))
     turn = axes(once, "_x", dim)
     n = once.count()
     tiles = max(1, -(-n // tile))
@@ -173,9 +178,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
             x = _unit(batch.column(1), dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["_key", "x"])
 
-    mine = rows.where(good).select("_key", "_x").mapInArrow(hashed, f"_key {kind}, x binary").select("_key", F.xxhash64("x").alias("node"))
-    joined = mine.join(named, "node").select(
+    mine = rows.select("_key", "_x").mapInArrow(hashed, f"_key {kind}, x binary").select("_key", F.xxhash64("x").alias("node"))
+    return mine.join(named, "node").select(
         F.col("_key").alias(key), "n_links", "component_id", F.coalesce(F.col("_key") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
     )
-    others = rows.where(~good).select(F.col("_key").alias(key), F.lit(0).cast("long"), F.col("_key"), F.lit(True))
-    return joined.union(others)

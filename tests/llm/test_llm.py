@@ -116,6 +116,13 @@ def test_vectors_with_negative_zero_stay(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rows = [(1, [1.0, 0.0, 0.5]), (2, [1.0, 0.0, 0.5]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [2.0, 4.1]), (7, [1.0])]
+    got = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 2, 4, True), (5, 2, 4, False), (6, 2, 4, False), (7, 0, 7, True)]
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == want
+
+
 def test_mixing_meets_targets_and_reruns_agree(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", "c"])) for i in range(3000)] + [(5000, None, None), (5001, "x y", None), (5002, "", "zero")]
