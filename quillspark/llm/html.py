@@ -4,7 +4,9 @@ First pass: each block of text is good, bad or ambiguous by its link density, le
 density of stop words; blocks in containers of site furniture (menus, adverts, forms,
 footers, comments) are bad. Second pass: ambiguous blocks take the label of their nearest
 decided neighbours, the earlier one on a tie; inside the page's article they take it only
-from blocks of the article, and are good if it has no decided block.
+from blocks of the article that are not site furniture, and are good if it has no decided block.
+Text without a known stop word is not bad for that; on a page whose longer texts have too
+few on the whole (another language) length and links decide.
 
 A null or empty page has the empty text. Markup that never closes, repeated rows and very
 long pages need nothing special: one pass over the tags, memory as one page.
@@ -144,18 +146,32 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, int]]:
 GOOD, BAD, AMBIGUOUS = 1, 0, -1
 
 
-def classify(text: str, links: int, furniture: bool, in_article: bool) -> int:
-    """First pass over one block."""
+def _stop_words(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _letters.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _foreign(found: list[tuple[str, int, bool, int]]) -> bool:
+    """Whether the longer texts of a page, without furniture and links, have too few stop words."""
+    counts = [_stop_words(t) for t, k, bad, _ in found if not bad and len(t) >= SHORT and k <= FEW_LINKS * len(t)]
+    return sum(x[0] for x in counts) < LOW_STOP * sum(x[1] for x in counts)
+
+
+def classify(text: str, links: int, furniture: bool, in_article: bool, foreign: bool = False) -> int:
+    """First pass over one block; ``foreign``: of a page that stop words tell nothing about."""
     if furniture:
         return BAD
     density = links / max(1, len(text))
     if density > MOST_LINKS:
         return BAD
-    words = _letters.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if foreign:
+        return GOOD if len(text) >= SHORT and density <= FEW_LINKS else AMBIGUOUS
+    known, n_words = _stop_words(text)
+    stop = known / max(1, n_words)
     if len(text) >= SHORT and stop >= LOW_STOP and density <= FEW_LINKS and (len(text) >= LONG or stop >= HIGH_STOP):
         return GOOD
-    if in_article or len(text) < SHORT or stop >= LOW_STOP:
+    if in_article or len(text) < SHORT or stop >= LOW_STOP or not known:
         return AMBIGUOUS
     return BAD
 
@@ -163,7 +179,8 @@ def classify(text: str, links: int, furniture: bool, in_article: bool) -> int:
 def main_text(html: str) -> str:
     """The article's text: its blocks in page order, one space between them."""
     found = list(blocks(html))
-    labels = [classify(t, k, bad, bool(article)) for t, k, bad, article in found]
+    foreign = _foreign(found)
+    labels = [classify(t, k, bad, bool(article), foreign) for t, k, bad, article in found]
     homes = [x[3] for x in found]
 
     def nearest(step: int) -> list[tuple[int, int]]:
@@ -171,7 +188,8 @@ def main_text(html: str) -> str:
         out, last = [(0, AMBIGUOUS)] * len(found), {}
         for i in range(len(found))[::step]:
             if labels[i] != AMBIGUOUS:
-                last[homes[i]] = i
+                if not (homes[i] and found[i][2]):  # furniture says nothing about an article's text
+                    last[homes[i]] = i
             elif homes[i] in last:
                 k = last[homes[i]]
                 out[i] = (abs(i - k), labels[k])

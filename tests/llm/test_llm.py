@@ -231,6 +231,20 @@ def test_html_blocks():
     assert html.main_text("<p>" * 2000) == ""
 
 
+def test_furniture_inside_an_article_decides_nothing():
+    page = "<article><p>First short words.</p><div class=share>Share this</div><p>Second short words.</p></article>"
+    assert html.main_text(page) == "First short words. Second short words."
+
+
+def test_pages_in_languages_without_known_stop_words():
+    russian = "Быстрая рыжая лиса перепрыгнула через спящую собаку и побежала дальше к старому дому у реки."
+    chinese = "敏捷的棕色狐狸跳过了懒狗，然后跑向河边的老房子。" * 4
+    polish = "Szybki rudy lis przeskoczył nad śpiącym psem i pobiegł dalej w stronę starego domu nad rzeką."
+    page = "<nav>Меню</nav><div>{}</div><div>{}</div><div class=footer>Подвал</div>"
+    for text in (russian, chinese, polish):
+        assert html.main_text(page.format(text, text)) == f"{text} {text}"
+
+
 def test_classifier_separates_held_out_rows(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of", "and", "cat"] if i % 2 else ["###", "buy", "now", "win"]) for _ in range(30))) for i in range(300)]
