@@ -7,8 +7,7 @@ separator between), form a bipartite graph of lexical patterns and instances. Ro
 over that graph: a pattern's confidence is the mean confidence of the instances it extracts
 with a support factor, an instance's the best pattern confidence (seeds stay at 1).
 Patterns that reach :data:`CONFIDENT` with enough different instances and
-documents are promoted, at most :data:`PROMOTED` of a kind in all (the best ones; that
-is how the method grows), and what they extract outside base spans is a span of their kind.
+documents are promoted, all of them, and what they extract outside base spans is a span of their kind.
 
 Scores and counts cover all rows. A null text is empty and has no spans. Repeated rows are
 scanned each, and count once for the support of a pattern (supports are of distinct
@@ -35,9 +34,19 @@ JAVA = {
 }
 #: What a text must hold at least, tested before its pattern.
 QUICK = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: An identifier-like token and what stands before it: word, separator, value.
-TOKEN = r"(?:(?<![A-Za-z0-9_])|\G)([A-Za-z_]{2,24}+)((?:[\x20\t]?[:=#][\x20\t]?|[\x20\t])[\"'(<]?)((?=[^\x20\x09-\x0D]{0,80}[0-9@])[^\x20\x09-\x0D\"'()<>,;]{6,80})"
-ROUNDS, CONFIDENT, PROMOTED, SUPPORT, DOCUMENTS = 3, 0.6, 200, 5, 5
+_START, _VALUE, _PLAIN = r"(?:(?<![A-Za-z0-9_])|\G)[A-Za-z_]{2,}+", r"[^\x20\x09-\x0D\"'()<>,;]", r"[^\x20\x09-\x0D\"'()<>,;0-9@]"
+#: An identifier-like token and what stands before it: word, separator, value. The second
+#: form has no groups: it steps over a long value without a digit or ``@``, where no token
+#: can start, all but its end, so that the scan stays linear.
+TOKEN = (
+    rf"(?:(?<![A-Za-z0-9_])|\G)([A-Za-z_]{{2,}}+)((?:[\x20\t]?[:=#][\x20\t]?|[\x20\t])[\"'(<]?)((?={_PLAIN}*+[0-9@]){_VALUE}{{6,}}+)"
+    rf"|{_START}[:=#][\"'(<]?{_PLAIN}*(?<![A-Za-z0-9_])(?={_PLAIN}{{2}})"
+)
+ROUNDS, CONFIDENT, SUPPORT, DOCUMENTS = 3, 0.6, 5, 5
+#: Promoted contexts up to this many are looked up inside each row; more are joined as a table.
+INLINE = 200
+#: Tables of up to this many promoted contexts are broadcast.
+BROADCAST_ROWS = 100_000
 _SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
@@ -113,12 +122,16 @@ def _meet(spans: Column, x: Column) -> Column:
     return F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
 
-def learn(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """Promoted left contexts and the place of their kind in :data:`KINDS`.
+def _sized(patterns: DataFrame) -> DataFrame:
+    """The table, broadcast in joins if it is counted small."""
+    return F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
+
+
+def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(w, k)``: promoted left contexts and the place of their kind in :data:`KINDS`.
 
     Edges are aggregated by (context, value) before any shuffle; every round is a
-    group by value and a group by context over that table. At most
-    ``PROMOTED * len(KINDS)`` contexts come back.
+    group by value and a group by context over that table. A context has one kind.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(t.alias("_t")).where(F.col("_t").rlike("[0-9@]"))
@@ -136,36 +149,43 @@ def learn(docs: DataFrame, text: str = "text") -> dict[str, int]:
         by = by.where((F.col("n") >= SUPPORT) & (F.col("d") >= DOCUMENTS))
         scored = by.select("w", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"c{k}") / F.col("n") * F.col("n") / (F.col("n") + 1)).alias("c")) for k in range(n_kinds)))).alias("x"))
         scored = scored.select("w", "x.k", "x.c").where(F.col("c") >= CONFIDENT)
-        best = None
-        for k in range(n_kinds):
-            top = scored.where(F.col("k") == k).orderBy(F.desc("c"), "w").limit(PROMOTED)
-            best = top if best is None else best.union(top)
-        best = cut(best)
+        best = cut(scored)
         if patterns is not None:
             drop(patterns)
         patterns = best
         if turn < ROUNDS - 1:
             # what promoted contexts extract becomes known, with their confidence
-            more = edges.select("w", "v").join(F.broadcast(patterns), "w").groupBy("v").agg(F.max_by("k", "c").alias("k"), F.max("c").alias("c"))
+            more = edges.select("w", "v").join(_sized(patterns), "w").groupBy("v").agg(F.max_by("k", "c").alias("k"), F.max("c").alias("c"))
             seeds = edges.groupBy("v").agg(F.max("k").alias("k")).where("k is not null").select("v", "k", F.lit(1.0).alias("c"))
             known = seeds.union(more.join(seeds, "v", "left_anti"))
-    found = {}
-    for w, k, _ in sorted(patterns.collect(), key=lambda r: (r[2], r[0])):
-        found[w] = k
     drop(edges)
-    drop(patterns)
-    return found
+    return patterns.select("w", "k")
+
+
+def learn(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """:func:`contexts` brought to the driver, to look at."""
+    return {r.w: r.k for r in contexts(docs, text).toLocalIterator()}
 
 
-def find(docs: DataFrame, text: str = "text", patterns: dict[str, int] | None = None) -> DataFrame:
+def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` and ``_spans``: arrays of (s, k, e), by start, then kind."""
-    patterns = learn(docs, text) if patterns is None else patterns
+    patterns = contexts(docs, text)
+    n = patterns.count()
     t = F.coalesce(F.col(text), F.lit(""))
     some = F.when(t.rlike("[0-9@]"), _base(t)).otherwise(F.array().cast(_SPAN))
     out = docs.withColumn("_base", some)
-    if not patterns:
+    if not n:
         return out.withColumn("_spans", F.col("_base"))
-    kind_of = F.create_map(*(F.lit(x) for w in sorted(patterns) for x in (w, patterns[w])))
+    if n > INLINE:
+        # by text, as spans depend on nothing else: two hashes name it
+        name = [F.xxhash64(F.lit(i), t).alias(f"_t{i}") for i in range(2)]
+        tokens = docs.where(t.rlike("[0-9@]")).select(*name, F.explode(_tokens(t)).alias("x")).select("_t0", "_t1", F.col("x.w").alias("w"), "x.s", "x.e")
+        met = tokens.join(_sized(patterns), "w").groupBy("_t0", "_t1").agg(F.collect_set(F.struct("s", F.col("k").cast("int").alias("k"), "e")).alias("_more"))
+        out = out.withColumns({f"_t{i}": c for i, c in enumerate(name)}).join(met, ["_t0", "_t1"], "left")
+        extra = F.filter(F.coalesce("_more", F.array().cast(_SPAN)), lambda x: ~_meet(F.col("_base"), x))
+        return out.withColumn("_spans", F.array_sort(F.concat("_base", extra))).drop("_t0", "_t1", "_more")
+    pairs = [(r.w, r.k) for r in patterns.orderBy("w").collect()]
+    kind_of = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
     extra = F.filter(_tokens(t), lambda x: F.array_contains(F.map_keys(kind_of), x["w"]) & ~_meet(F.col("_base"), x))
     extra = F.transform(extra, lambda x: F.struct(x["s"].alias("s"), F.element_at(kind_of, x["w"]).alias("k"), x["e"].alias("e")))
     return out.withColumn("_spans", F.array_sort(F.concat("_base", extra)))

@@ -165,6 +165,27 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert {r.doc_id: r.text for r in pii.mask(docs).collect()}[30] == "write to contact: <email> today"
 
 
+@pytest.mark.parametrize("inline", [True, False])
+def test_every_confident_context_is_promoted(spark, monkeypatch, inline):
+    monkeypatch.setattr(pii, "INLINE", 10**6 if inline else 0)
+    word = lambda c: "ctx" + "".join("abcdefghij"[int(x)] for x in f"{c:03}")
+    n = 210
+    rows = [(100 * c + i, f"{word(c)}: u{c}x{i}@mail.example") for c in range(n) for i in range(8)]
+    rows += [(100 * c + 50, f"{word(c)}: k{c}.user.corp") for c in range(n)]
+    got = {r.doc_id: r.spans for r in pii.report(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"email:8:{len(t)}" for i, t in rows if i % 100 == 50)
+
+
+def test_whole_values_and_words_of_any_length(spark):
+    word, value = "contactperson" * 3, "k" * 120 + "7.user.corp"
+    rows = [(i, f"{word}: u{i}@mail.example") for i in range(30)] + [(30, f"{word}: {value}")]
+    assert {r.doc_id: r.text for r in pii.mask(frame(spark, rows)).collect()}[30] == f"{word}: <email>"
+    rows = [(0, "ab:" * 60_000 + " contact: x1234567")]  # no square of the length
+    tokens = frame(spark, rows).select(pii._tokens(F.col("text")).alias("x")).first().x
+    assert [(x.w, x.v) for x in tokens] == [("contact: ", "x1234567")]
+
+
 def test_quality_rules(spark):
     rows = [
         (1, "This is a plain sentence of some words that ends well.\nhome | about | news | help\nAnother line of quite different words follows here."),
