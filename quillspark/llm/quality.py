@@ -49,7 +49,7 @@ _counted = re.compile(r"[#*$%&|<>]")
 
 def line_fails(line: str, n_words: int) -> bool:
     """The rules for one line that has ``n_words`` words (at least one)."""
-    if not _ends.search(line[-40:]) and len(_sentence.findall(line)) * PROSE_WORDS < n_words:
+    if not _ends.search(line.rstrip(" \t\n\v\f\r")[-1:]) and len(_sentence.findall(line)) * PROSE_WORDS < n_words:
         return True  # no sentence: a heading, a menu entry, a list of links
     if len(_bars.findall(line)) * 4 > n_words or len(_symbols.findall(line)) > n_words:
         return True

@@ -204,6 +204,12 @@ def test_quality_rules(spark):
     assert quality.clean(frame(spark, rows)).columns[-1] == "h"
 
 
+def test_line_end_is_seen_behind_padding():
+    for end in ":;\")]….":
+        assert not quality.line_fails("some words before the end" + end + " \t" * 40, 5)
+    assert quality.line_fails("some words before the end" + " " * 80, 5)
+
+
 def test_codec_equals_the_public_library(spark):
     import public_tokenizers
     import tiktoken
