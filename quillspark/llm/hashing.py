@@ -12,21 +12,47 @@ _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """Powers of the base, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 1 << 16)
-        out = np.full(size, _BASE, np.uint64)
-        out[0] = 1
-        _powers = np.multiply.accumulate(out)
-    return _powers[:n]
-
+#: Bytes looked at together; no array is longer, but for results.
+WINDOW = 1 << 17
+_STEP = 1 << 12
+_low = np.full(_STEP, _BASE, np.uint64)
+_low[0] = 1
+_low = np.multiply.accumulate(_low)
+
+
+def _power(at: np.ndarray) -> np.ndarray:
+    """The base to each power, modulo 2**64, by the low and the high part of the power."""
+    out = _low[at & (_STEP - 1)]
+    most = int(at.max(initial=0)) // _STEP
+    if most:
+        high = np.full(most + 1, pow(int(_BASE), _STEP, 1 << 64), np.uint64)
+        high[0] = 1
+        out = out * np.multiply.accumulate(high)[at // _STEP]
+    return out
+
+
+def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of code points of each segment, white space left out, A-Z as a-z.
+
+    ``ends`` rise to ``len(data)``, each the byte after its segment. A segment may be of any
+    length: it is summed up window by window.
+    """
+    total, chars, solid_bytes = (np.zeros(len(ends), t) for t in (np.uint64, np.int64, np.int64))
+    for w in range(0, len(data), WINDOW):
+        d = data[w : w + WINDOW]
+        i, j = np.searchsorted(ends, [w, w + len(d) - 1], "right")
+        cuts = np.maximum(np.concatenate(([0], ends[i:j] - w)), 0)
+        solid = ~_SPACE[d]
+        count = np.cumsum(solid)
+        before = count - solid
+        since = before[cuts] - np.concatenate((solid_bytes[i : i + 1], np.zeros(j - i, np.int64)))
+        at = before - np.repeat(since, np.diff(np.append(cuts, len(d))))
+        value = np.where(solid, _BYTE[d] * _power(np.maximum(at, 0)), U(0))
+        total[i : j + 1] += np.add.reduceat(value, cuts)
+        solid_bytes[i : j + 1] += np.add.reduceat(solid, cuts, dtype=np.int64)
+        chars[i : j + 1] += np.add.reduceat(solid & ((d & 0xC0) != 0x80), cuts, dtype=np.int64)
+    return mix(total + solid_bytes.astype(np.uint64) * U(0xD1B54A32D192ED03)), chars
 
-_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +79,18 @@ def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
+    start, end = word_edges(data, offsets)
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
+    # a segment is a word and the white space behind it, and before the first
+    h = segments(data, np.append(start[1:], n))[0]
+    return h, np.searchsorted(start, offsets), start, end
+
+
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    n = len(data)
     solid = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -60,29 +98,7 @@ def placed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     first[1:] &= ~solid[:-1] | edge[1:n]
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:n]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = end - start
-    # sums of byte values times powers counted from the word's own start
-    total = np.zeros(n + 1, np.uint64)
-    p = powers(n + 1)
-    np.cumsum(_BYTE[data] * p[:n], out=total[1:])
-    inverse = inverses(n + 1)
-    h = (total[end] - total[start]) * inverse[start] + size.astype(np.uint64) * U(0xD1B54A32D192ED03)
-    return mix(h), np.searchsorted(start, offsets), start, end
-
-
-_inverses = np.ones(1, np.uint64)
-
-
-def inverses(n: int) -> np.ndarray:
-    """Powers of the base's inverse, modulo 2**64."""
-    global _inverses
-    if len(_inverses) < n:
-        size = max(n, 1 << 16)
-        out = np.full(size, _INVERSE, np.uint64)
-        out[0] = 1
-        _inverses = np.multiply.accumulate(out)
-    return _inverses[:n]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

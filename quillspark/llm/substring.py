@@ -1,231 +1,290 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at ``.``, ``!`` or ``?`` (closing quotes and brackets may follow) or at a line
-break; a capital letter inside a line starts one too, so a passage put into the middle of
-a sentence begins a sentence of its own. A span is a run of consecutive sentences: from each
-sentence on, and up to each, the shortest run of at least ``min_words`` words (one sentence
-only where it is that long). Every span of every text is hashed (64 bits), the hashes meet globally in
-fragments of their order, and a sentence goes if a span that covers it stands earlier: in a
-row with a smaller id, or before it in its own row.
-
-A block of rows sends each of its spans once, with its first place, so a span of a third of
-all rows costs a row a block. Texts without a repeated span stay byte for byte. A null text
-counts as empty and stays null; a null id comes after all others. Equal ids are ordered by
-their block of rows, so of repeated rows one keeps its text.
+A sentence ends at ``.``, ``!``, ``?``, ``…`` or an ideographic full stop, exclamation or
+question mark (closing quotes and brackets may follow; the ASCII marks and ``…`` need white
+space or the text's end behind them), and at a line break. White space does not count when
+sentences are compared, nor does the case of A-Z. A span is a run of :data:`MIN_SENTENCES`
+or more consecutive sentences with at least :data:`MIN_CHARS` characters besides white space. A
+sentence goes if a span that covers it stands earlier: in a row before its own in the order
+of id and text hash, or before it in its own row. A passage's first and last sentence, where
+the text around it runs into them, are no sentences of the passage and stay.
+
+Of every run only the shortest qualifying one from each sentence on, and the shortest one up to
+each, are hashed (64 bits). That loses nothing: the sentences of a repeated run of any length
+are covered by the shortest runs inside it, and those stand earlier where the run does.
+
+1. A slice of rows finds, of each hash, its first row; rows after that are decided at once.
+2. First rows meet by fragments of the hash order: one entry a slice for each hash, so a span of a
+   third of all rows costs an entry a slice.
+3. What is known of a row's spans joins the documents by id and text hash, and those rows cut
+   their sentences. Texts are never sent to fragments.
+
+Texts without a repeated span stay byte for byte. A null text counts as empty and stays null; a
+null id comes after all others. Rows equal in id and text are one document: each gets the same
+result. Ids may be of any type that sorts; other columns are left out of the result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes
-from .hashing import U, inverses, mix, placed_words, powers
+from .hashing import U, mix, segments
+
+MIN_SENTENCES, MIN_CHARS = 2, 80
+#: Bytes of text for each fragment of the hash order, and for a slice of rows, about.
+FRAGMENT, SLICE, LEAST_FRAGMENTS = 24 << 20, 1 << 20, 48
+#: Bytes of text whose entries travel together.
+TOGETHER = 8 << 20
+_closing = rb"(?:[\"')\]}]|\xe2\x80[\x99\x9d]|\xc2\xbb|\xe3\x80[\x8d\x8f]|\xef\xbc\x89)*"
+_end = re.compile(rb"(?:[.!?]|\xe2\x80\xa6)" + _closing + rb"(?=[\x20\x09-\x0D]|\Z)|(?:\xe3\x80\x82|\xef\xbc[\x81\x9f])" + _closing + rb"|\n")
 
-MIN_WORDS = 25
-#: Bytes of text for each fragment of the hash order, and for a block of rows, about.
-FRAGMENT, BLOCK = 48 << 20, 8 << 20
-_LAST = np.iinfo(np.int64).max
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
-_CLOSES = np.zeros(256, bool)
-_CLOSES[list(b"\"')]}")] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
+
+def sentence_ends(raw: bytes) -> list[int]:
+    """The byte after each sentence of a text; the last one ends with the text."""
+    ends = [m.end() for m in _end.finditer(raw)]
+    if raw and (not ends or ends[-1] < len(raw)):
+        ends.append(len(raw))
+    return ends
 
 
 class Spans:
-    """Sentences and spans of the rows of a block."""
+    """Sentences and spans of some rows."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_sentences: int, min_chars: int) -> None:
         self.data, self.offsets = data, offsets
-        h, first, start, end = placed_words(data, offsets)
-        self.first, self.start = first, start
-        m = len(h)
-        opens = np.zeros(m + 1, bool)
-        opens[first] = True
-        opens[m] = True
-        if m > 1:
-            last = data[end - 1]
-            for _ in range(2):  # closing marks after the sentence's end
-                inner = _CLOSES[last] & (end - 2 >= start)
-                last = np.where(inner, data[np.maximum(end - 2, 0)], last)
-            lines = np.concatenate((np.zeros(1, np.int64), np.cumsum(data == 10)))
-            broken = lines[start[1:]] > lines[end[:-1]]
-            head = data[start[1:]]
-            follow = data[np.minimum(start[1:] + 1, len(data) - 1)]
-            capital = _UPPER[head] | (head == 0xC3) & (follow >= 0x80) & (follow <= 0x9E)
-            opens[1:m] |= _ENDS[last[:-1]] | broken | capital
-        self.opens = at = np.flatnonzero(opens)  # word that each sentence begins with, and the end
-        self.sentence_of_row = np.searchsorted(at, first)
-        self.n = np.diff(self.sentence_of_row)
-        k = len(at) - 1
-        row = np.repeat(np.arange(len(offsets) - 1), self.n)
-        if k <= 0:
-            self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.a = self.b = np.zeros(0, np.int64)
-            return
-        index = np.arange(k)
-        stop, begin = self.sentence_of_row[1:][row], self.sentence_of_row[:-1][row]
-        ahead = np.searchsorted(at, at[:-1] + min_words)  # sentence boundary with so many words behind it
-        fits = ahead <= stop
-        back = np.searchsorted(at, at[1:] - min_words, "right") - 1
-        fits_back = back >= begin
-        a = np.concatenate((index[fits], back[fits_back]))
-        b = np.concatenate((ahead[fits], index[fits_back] + 1))
-        r = np.concatenate((row[fits], row[fits_back]))
-        both = np.unique(a * (k + 1) + b, return_index=True)[1]
-        self.a, self.b, self.row = a[both], b[both], r[both]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(m))))
-        x, y = at[self.a], at[self.b]
-        self.hash = mix((total[y] - total[x]) * inverses(m)[x] + (y - x).astype(np.uint64) * U(0xA0761D6478BD642F))
+        per_row = [sentence_ends(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        count = np.array([len(x) for x in per_row], np.int64)
+        row = np.repeat(np.arange(len(count)), count)
+        ends = np.fromiter((e for x in per_row for e in x), np.int64, int(count.sum())) + offsets[row]
+        h, chars = segments(data, ends)
+        solid = chars > 0  # blank lines and the like belong to the sentence after, or to the row's last
+        self.h, row = h[solid], row[solid]
+        self.row_of = row
+        self.n = np.bincount(row, minlength=len(count)).astype(np.int64)
+        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.n)))
+        # a sentence reaches to the next one's begin, a row's last to its end
+        self.end = ends[solid]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(chars[solid])))
+        k = len(self.h)
+        at = np.arange(k)
+        begin, stop = self.first[:-1][row], self.first[1:][row]
+        ahead = np.maximum(np.searchsorted(total, total[:-1] + min_chars), at + min_sentences)
+        back = np.minimum(np.searchsorted(total, total[1:] - min_chars, "right") - 1, at + 1 - min_sentences)
+        fits, fits_back = ahead <= stop, back >= begin
+        a = np.concatenate((at[fits], back[fits_back]))
+        b = np.concatenate((ahead[fits], at[fits_back] + 1))
+        once = np.unique(a * (k + 1) + b)
+        self.a, self.b = once // (k + 1), once % (k + 1)
+        self.row = row[self.a]
+        size = self.b - self.a
+        self.hash = size.astype(np.uint64) * U(0xA0761D6478BD642F)
+        left = np.arange(len(size))
+        for j in range(int(size.max()) if len(size) else 0):
+            left = left[size[left] > j]
+            self.hash[left] += mix(self.h[self.a[left] + j] + U((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        self.hash = mix(self.hash)
 
     def covered(self, spans: np.ndarray) -> np.ndarray:
         """Whether each sentence is in one of the chosen spans."""
-        step = np.zeros(len(self.opens) + 1, np.int64)
+        step = np.zeros(len(self.h) + 1, np.int64)
         np.add.at(step, self.a[spans], 1)
         np.add.at(step, self.b[spans], -1)
-        return np.cumsum(step)[: len(self.opens) - 1] > 0
-
-    def without(self, gone: np.ndarray) -> list[bytes | None]:
-        """Each row's bytes without the sentences that go, or None where none does."""
-        out: list[bytes | None] = []
-        for i in range(len(self.offsets) - 1):
-            p, q = self.sentence_of_row[i], self.sentence_of_row[i + 1]
-            if not gone[p:q].any():
-                out.append(None)
-                continue
-            starts = self.start[self.opens[p:q]]
-            ends = np.append(starts[1:], self.offsets[i + 1])
-            kept = [self.data[self.offsets[i] : starts[0]].tobytes()]
-            kept += [self.data[s:e].tobytes() for s, e, g in zip(starts, ends, gone[p:q], strict=True) if not g]
-            out.append(b"".join(kept))
-        return out
+        return np.cumsum(step)[:-1] > 0
+
+    def without(self, row: int, gone: np.ndarray) -> bytes:
+        """A row's bytes without the sentences that go."""
+        p, q = self.first[row], self.first[row + 1]
+        ends = self.end[p:q].copy()
+        ends[-1] = self.offsets[row + 1]
+        starts = np.concatenate((self.offsets[row : row + 1], ends[:-1]))
+        return b"".join(self.data[s:e].tobytes() for s, e, g in zip(starts, ends, gone[p:q], strict=True) if not g)
+
+
+def _firsts(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by hash and document, and the place in it of each entry's first document."""
+    order = np.lexsort((doc, h))
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return order, np.flatnonzero(new)[np.cumsum(new) - 1] if len(s) else np.zeros(0, np.int64)
+
+
+def _ranks(key: pa.Array, t: np.ndarray) -> np.ndarray:
+    """Numbers of documents in the order of key, null last, and text hash; equal ones share theirs."""
+    dense = pc.rank(key, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((t, dense))
+    new = np.zeros(len(t), np.int64)
+    new[1:] = (dense[order][1:] != dense[order][:-1]) | (t[order][1:] != t[order][:-1])
+    out = np.empty(len(t), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
 
+def _grouped(group: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The distinct groups, and each one's values as bytes."""
+    by = np.argsort(group, kind="stable")
+    names, starts = np.unique(group[by], return_index=True)
+    ends = np.append(starts[1:], len(group))
+    return names, [[v[by][p:q].tobytes() for p, q in zip(starts, ends, strict=True)] for v in values] if len(names) else [[] for _ in values]
 
-def _order(key: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
-    """Spans by hash, id, row and place, and which of them is the first of its hash."""
-    order = np.lexsort((spans.a, spans.row, key[spans.row], spans.hash))
-    s = spans.hash[order]
-    first = np.ones(len(s), bool)
-    first[1:] = s[1:] != s[:-1]
-    return order, first
 
+def _sent_schema(kind: pa.DataType) -> pa.Schema:
+    # entries of a slice: hashes, whether the slice holds more of them, the document of each; the documents
+    return pa.schema([("frag", pa.int32()), ("h", pa.binary()), ("flag", pa.binary()), ("doc", pa.binary()), ("key", pa.list_(kind)), ("t", pa.binary())])
 
-_SENT = pa.schema([("frag", pa.int32()), ("block", pa.int64()), ("h", pa.binary()), ("at", pa.binary()), ("key", pa.list_(pa.int64())), ("text", pa.list_(pa.string()))])
-_SENT_SQL = "frag int, block bigint, h binary, at binary, key array<bigint>, text array<string>"
 
+def _send(n_frag: int, limits: tuple[int, int]):
+    def flush(held: list, block: int, schema: pa.Schema) -> pa.RecordBatch:
+        h, key, t = (np.concatenate([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held]))
+        sizes = np.array([len(x[2]) for x in held])
+        row = np.concatenate([x[3] + s for x, s in zip(held, np.cumsum(sizes) - sizes, strict=True)])
+        doc = _ranks(key, t)
+        some = np.zeros(doc.max() + 1 if len(doc) else 0, np.int64)
+        some[doc] = np.arange(len(doc))  # a row of each document
+        d = doc[row]
+        order, lead = _firsts(h, d)
+        s, d = h[order], d[order]
+        first = lead == np.arange(len(s))
+        more = np.bincount(lead, minlength=len(s)) > 1  # at the first entry: the slice holds another
+        # rows after the first one's document are decided here
+        later = d != d[lead]
+        columns: list[list] = [[] for _ in schema]
+        frag = ((s >> U(32)) * U(n_frag) >> U(32)).astype(np.int64)
+        ends = np.searchsorted(frag[first], np.arange(n_frag + 1))
+        hs, ds, ms = s[first], d[first], more[first].astype(np.uint8)
+        for f in range(n_frag):
+            p, q = ends[f], ends[f + 1]
+            if p < q:
+                names, same = np.unique(ds[p:q], return_inverse=True)
+                rows = some[names]
+                for c, x in zip(columns, (f, hs[p:q].tobytes(), ms[p:q].tobytes(), same.astype(np.uint32).tobytes(), key.take(pa.array(rows)), t[rows].tobytes()), strict=True):
+                    c.append(x)
+        names, values = _grouped(d[later], s[later])
+        if len(names):
+            lengths = np.array([len(x) // 8 for x in values[0]])
+            mixed = int(mix(np.array([block], np.uint64))[0] % U(n_frag))
+            body = (-1 - mixed, b"".join(values[0]), b"", np.repeat(np.arange(len(names)), lengths).astype(np.uint32).tobytes(), key.take(pa.array(some[names])), t[some[names]].tobytes())
+            for c, x in zip(columns, body, strict=True):
+                c.append(x)
+        arrays = [pa.array(c, x.type) if x.name != "key" else _lists(c, x.type) for c, x in zip(columns, schema, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-def _send(n_frag: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, part = 0, TaskContext.get().partitionId()
+        block, schema, held, size = TaskContext.get().partitionId() << 24, None, [], 0
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, BLOCK):
-                keys = batch.column(0)[i:j]
-                key = keys.fill_null(_LAST).to_numpy(zero_copy_only=False)
-                spans = Spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words)
-                order, first = _order(key, spans)
-                order = order[first]
-                h, at = spans.hash[order], key[spans.row[order]]
-                block = (part << 24) + k
-                k += 1
-                frag = ((h >> U(32)) * U(n_frag) >> U(32)).astype(np.int64)
-                ends = np.searchsorted(frag, np.arange(n_frag + 1))
-                cols: list[list] = [[], [], [], [], [], []]
-                for f in range(n_frag):
-                    if ends[f] < ends[f + 1]:
-                        for c, x in zip(cols, (f, block, h[ends[f] : ends[f + 1]].tobytes(), at[ends[f] : ends[f + 1]].tobytes(), None, None), strict=True):
-                            c.append(x)
-                for c, x in zip(cols, (-1 - block % n_frag, block, None, None, keys.to_pylist(), batch.column(1)[i:j].to_pylist()), strict=True):
-                    c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, _SENT, strict=True)], schema=_SENT)
+            schema = _sent_schema(batch.column(0).type)
+            data, offsets = text_bytes(batch.column(2))
+            t = batch.column(1).to_numpy()
+            for i, j in slices(offsets, SLICE):
+                spans = Spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], *limits)
+                held.append((spans.hash, batch.column(0)[i:j], t[i:j].copy(), spans.row))
+                size += int(offsets[j] - offsets[i])
+                if size >= TOGETHER:
+                    yield flush(held, block, schema)
+                    held, size, block = [], 0, block + 1
+            pa.default_memory_pool().release_unused()
+        if held:
+            yield flush(held, block, schema)
 
     return run
 
 
+def _lists(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(parts) if parts else pa.array([], kind.value_type))
+
+
 def _meet(group: pa.Table) -> pa.Table:
-    """One fragment: for each block, its spans that stand earlier elsewhere, and the id there."""
+    """One fragment: for each document, its spans that others hold too, and whether it is their first."""
     group = group.combine_chunks()
+    keys = group.column("key").combine_chunks().flatten()
+    t = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("t").to_pylist()])
+    counts = pc.list_value_length(group.column("key")).to_numpy()
+    h = [np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()]
+    sizes = np.array([len(x) for x in h])
+    h = np.concatenate(h)
+    row = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("doc").to_pylist()]).astype(np.int64) + np.repeat(np.cumsum(counts) - counts, sizes)
+    rank = _ranks(keys, t)
+    some = np.zeros(rank.max() + 1, np.int64)
+    some[rank] = np.arange(len(rank))
+    doc = rank[row]
     if group.column("frag")[0].as_py() < 0:
-        return group.drop_columns(["frag"])
-    hs = [np.frombuffer(x, np.uint64) for x in group.column("h").to_pylist()]
-    sizes = [len(x) for x in hs]
-    h, at = np.concatenate(hs), np.concatenate([np.frombuffer(x, np.int64) for x in group.column("at").to_pylist()])
-    block = np.repeat(group.column("block").to_numpy(), sizes)
-    order = np.lexsort((block, at, h))
-    s = h[order]
-    first = np.ones(len(s), bool)
-    first[1:] = s[1:] != s[:-1]
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    later = ~first
-    blocks, x, y = block[order][later], s[later], at[order][lead[later]]
-    by = np.argsort(blocks, kind="stable")
-    blocks, x, y = blocks[by], x[by], y[by]
-    names, starts = np.unique(blocks, return_index=True)
-    ends = np.append(starts[1:], len(blocks))[: len(names)]
-    n = len(names)
-    return pa.Table.from_arrays(
-        [pa.array(names, pa.int64()), pa.array([x[p:q].tobytes() for p, q in zip(starts, ends, strict=True)], pa.binary()), pa.array([y[p:q].tobytes() for p, q in zip(starts, ends, strict=True)], pa.binary()), pa.array([None] * n, pa.list_(pa.int64())), pa.array([None] * n, pa.list_(pa.string()))],
-        names=["block", "h", "at", "key", "text"],
-    )
-
-
-def _remove(min_words: int):
-    def run(group: pa.Table) -> pa.Table:
-        texts = keys = None
-        hs, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for r in range(group.num_rows):
-            if group.column("key")[r].is_valid:
-                keys, texts = group.column("key")[r].values, group.column("text")[r].values
-            else:
-                hs.append(np.frombuffer(group.column("h")[r].as_py(), np.uint64))
-                ats.append(np.frombuffer(group.column("at")[r].as_py(), np.int64))
-        later, where = np.concatenate(hs), np.concatenate(ats)
-        by = np.argsort(later)
-        later, where = later[by], where[by]
-        data, offsets = text_bytes(texts)
-        key = keys.fill_null(_LAST).to_numpy(zero_copy_only=False)
-        spans = Spans(data, offsets, min_words)
-        order, first = _order(key, spans)
-        gone = np.zeros(len(order), bool)
-        source = np.full(len(order), -1)
-        gone[order] = ~first
-        source[order] = key[spans.row[order[np.flatnonzero(first)[np.cumsum(first) - 1]]]] if len(order) else source
-        if len(later):
-            spot = np.minimum(np.searchsorted(later, spans.hash), len(later) - 1)
-            elsewhere = later[spot] == spans.hash
-            gone |= elsewhere
-            source[elsewhere] = where[spot[elsewhere]]
-        covered = spans.covered(gone)
-        cleaned = spans.without(covered)
-        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(covered)))
-        removed = total[spans.sentence_of_row[1:]] - total[spans.sentence_of_row[:-1]]
-        sources: list[list[int]] = [[] for _ in cleaned]
-        pairs = np.unique(np.stack((spans.row[gone], source[gone])), axis=1) if gone.any() else np.zeros((2, 0), np.int64)
-        for r, x in pairs.T.tolist():
-            if x != _LAST:
-                sources[r].append(x)
-        out = [t if c is None else c.decode() for t, c in zip(texts.to_pylist(), cleaned, strict=True)]
-        return pa.table({"key": keys, "n_sentences": pa.array(spans.n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "first_ids": pa.array(sources, pa.list_(pa.int64())), "text": pa.array(out, pa.string())})
+        flag = np.ones(len(h), np.uint8)
+    else:
+        several = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("flag").to_pylist()])
+        order, lead = _firsts(h, doc)
+        h, doc = h[order], doc[order]
+        held = np.bincount(lead, 1 + several[order], len(h))[lead]  # entries, and rows the slices know besides
+        keep = held > 1
+        flag = (doc != doc[lead]).astype(np.uint8)[keep]
+        h, doc = h[keep], doc[keep]
+    names, (hs, flags) = _grouped(doc, h, flag)
+    rows = some[names]
+    return pa.table({"key": keys.take(pa.array(rows)), "t": t[rows], "h": pa.array(hs, pa.binary()), "flag": pa.array(flags, pa.binary())})
+
+
+def _remove(limits: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for i, j in slices(offsets, SLICE):
+                yield one(batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            pa.default_memory_pool().release_unused()
+
+    def one(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        spans = Spans(data, offsets, *limits)
+        later, again = np.zeros(len(spans.hash), bool), np.zeros(len(spans.hash), bool)
+        at = np.searchsorted(spans.row, np.arange(batch.num_rows + 1))
+        for r, (hs, flags) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            if not hs.is_valid:
+                continue
+            h = np.concatenate([np.frombuffer(x, np.uint64) for x in hs.as_py()])
+            flag = np.concatenate([np.frombuffer(x, np.uint8) for x in flags.as_py()])
+            mine = spans.hash[at[r] : at[r + 1]]
+            known = np.isin(mine, h)
+            seen = np.unique(mine, return_index=True)[1]
+            repeat = np.ones(len(mine), bool)
+            repeat[seen] = False  # its first place in the row
+            again[at[r] : at[r + 1]] = known
+            later[at[r] : at[r + 1]] = known & (np.isin(mine, h[flag > 0]) | repeat)
+        gone, repeated = spans.covered(later), spans.covered(again)
+        sums = [np.concatenate((np.zeros(1, np.int64), np.cumsum(x))) for x in (gone, repeated)]
+        removed, held = (s[spans.first[1:]] - s[spans.first[:-1]] for s in sums)
+        texts = batch.column(1).to_pylist() if removed.any() else None
+        if texts is not None:
+            for r in np.flatnonzero(removed):
+                texts[r] = spans.without(r, gone).decode()
+        text = batch.column(1) if texts is None else pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans.n), pa.array(held), pa.array(removed), text], names=["key", "n_sentences", "n_repeated", "n_removed", "text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(key, n_sentences, n_removed, first_ids, text)`` for each row.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_sentences: int = MIN_SENTENCES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(key, n_sentences, n_repeated, n_removed, text)`` for each row.
 
-    ``text`` has lost the removed sentences; ``first_ids`` are the rows where what was removed stands first.
+    ``text`` has lost the removed sentences. ``n_repeated`` counts those covered by any
+    repeated span, in the row where it stands first too.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    limits = (min_sentences, min_chars)
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("t"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_frag = max(8, -(-size // FRAGMENT))
-    sent = rows.mapInArrow(_send(n_frag, min_words), _SENT_SQL)
-    met = sent.groupBy("frag").applyInArrow(_meet, "block bigint, h binary, at binary, key array<bigint>, text array<string>")
-    out = met.groupBy("block").applyInArrow(_remove(min_words), "key bigint, n_sentences bigint, n_removed bigint, first_ids array<bigint>, text string")
+    n_frag = max(LEAST_FRAGMENTS, -(-size // FRAGMENT))
+    sent = rows.mapInArrow(_send(n_frag, limits), f"frag int, h binary, flag binary, doc binary, key array<{kind}>, t binary")
+    met = sent.groupBy("frag").applyInArrow(_meet, f"key {kind}, t bigint, h binary, flag binary")
+    # a document's entries come from several fragments and slices; its own text bounds them
+    known = met.groupBy("key", "t").agg(F.collect_list("h").alias("h"), F.collect_list("flag").alias("flag"))
+    known = known.select(F.col("key").alias("_k"), F.col("t").alias("_t"), "h", "flag").hint("shuffle_hash")
+    both = rows.join(known, F.col("key").eqNullSafe(F.col("_k")) & (F.col("t") == F.col("_t")), "left").select("key", "text", "h", "flag")
+    out = both.mapInArrow(_remove(limits), f"key {kind}, n_sentences bigint, n_repeated bigint, n_removed bigint, text string")
     return out.withColumnRenamed("key", key).withColumnRenamed("text", text)

@@ -71,3 +71,28 @@ def classes(ids: list, links) -> dict:
         if a != b:
             up[max(a, b)] = min(a, b)
     return {i: root(i) for i in ids}
+
+
+CLOSING = "[\"')\\]}\u2019\u201d\u00bb\u300d\u300f\uff09]*"
+SENTENCE = re.compile(rf"(?:[.!?\u2026]{CLOSING}(?=[\x20\x09-\x0D]|\Z)|[\u3002\uff01\uff1f]{CLOSING}|\n)")
+
+
+def solid(text: str) -> str:
+    """The text without ASCII white space, A-Z as a-z."""
+    return re.sub("[\x20\x09-\x0D]", "", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
+def sentences(text: str | None) -> list[str]:
+    """Sentences, whose texts put together are the text; blank ones belong to the one after, or to the last."""
+    out, at, blank = [], 0, ""
+    text = text or ""
+    for end in [*(m.end() for m in SENTENCE.finditer(text)), len(text)]:
+        piece, at = blank + text[at:end], end
+        if solid(piece):
+            out.append(piece)
+            blank = ""
+        else:
+            blank = piece
+    if out:
+        out[-1] += blank
+    return out

@@ -240,15 +240,78 @@ def test_licenses(spark):
 
 
 def test_substring_removal(spark):
-    one = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. Lambda mu nu xi omicron pi rho sigma tau upsilon. Phi chi psi omega and then some more words here."
-    rows = [(1, "First words of it. " + one + " Last words."), (2, "quite another start " + one + " and its end"), (3, "Nothing repeats here. At all."), (4, None), (5, "")]
+    one = "Alpha beta gamma delta epsilon zeta eta theta iota kappa. Lambda mu nu xi omicron pi rho sigma tau upsilon. Phi chi psi omega and then some more words stand here."
+    rows = [(1, "First words of it. " + one + " Last words."), (2, "Quite another start. " + one + " And its end"), (3, "Nothing repeats here. At all."), (4, None), (5, ""), (6, "run into " + one)]
     got = {r.doc_id: r for r in substring.remove_repeats(frame(spark, rows)).collect()}
-    assert (got[1].n_removed, got[1].text) == (0, rows[0][1])
-    assert got[2].text == "quite another start and its end"
-    assert list(got[2].first_ids) == [1]
+    assert (got[1].n_repeated, got[1].n_removed, got[1].text) == (3, 0, rows[0][1])
+    assert (got[2].n_sentences, got[2].n_removed, got[2].text) == (5, 3, "Quite another start. And its end")
+    assert got[6].text == "run into Alpha beta gamma delta epsilon zeta eta theta iota kappa."
     assert [got[i].text for i in (3, 4, 5)] == [rows[2][1], None, ""]
 
 
+def spans_by_brute_force(rows):
+    """Every run of every length; rows equal in id and text are one."""
+    order = sorted({(i is None, i if i is not None else 0, x, t) for i, x, t in rows}, key=lambda r: r[:3])
+    sentences = [brute.sentences(t) for *_, t in order]
+    plain = [[brute.solid(x) for x in s] for s in sentences]
+    first, gone, held = {}, set(), set()
+    runs = [(d, a, b, "|".join(p[a:b])) for d, p in enumerate(plain) for a in range(len(p)) for b in range(a + 2, len(p) + 1) if sum(map(len, p[a:b])) >= 80]
+    count = {}
+    for d, a, b, x in sorted(runs, key=lambda r: (r[0], r[1])):
+        first.setdefault(x, (d, a))
+        count[x] = count.get(x, 0) + 1
+    for d, a, b, x in runs:
+        if count[x] > 1:
+            held |= {(d, k) for k in range(a, b)}
+        if first[x] != (d, a):
+            gone |= {(d, k) for k in range(a, b)}
+    out = {}
+    for d, (_, i, x, t) in enumerate(order):
+        n = len(sentences[d])
+        some = any((d, k) in gone for k in range(n))
+        text = "".join(s for k, s in enumerate(sentences[d]) if (d, k) not in gone) if some else t
+        out[None if _ else i, x] = (n, sum((d, k) in held for k in range(n)), sum((d, k) in gone for k in range(n)), text)
+    return out
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_substring_equals_every_run_of_brute_force(spark, batch):
+    rng = random.Random(11)
+    pool = [" ".join(rng.choice(["alpha", "Beta", "gamma", "Ωmega", "d", "e3", "naïve"]) for _ in range(rng.randint(1, 9))) + rng.choice([".", "! ", '?"', "。", "\n", ".)"]) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        part = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        if rows and rng.random() < 0.5:
+            part += [rng.choice(rows)[1] or ""]
+        rows.append((i % 90 if i % 7 else i, rng.choice([" ", "\n\n", "  "]).join(part)))
+    rows += [(500, "x" * 200000 + ". " + "long tail of words. " * 3000), (501, "long tail of words. " * 50), (None, rows[5][1]), (None, None), rows[8], rows[8], (502, "")]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = frame(spark, rows)
+    try:
+        spark.conf.set(key, batch)
+        got = substring.remove_repeats(docs).collect()
+    finally:
+        spark.conf.set(key, before)
+    small = [r for r in rows if r[0] not in (500,)]
+    assert len(got) == len(rows)
+    hashes = {(r.doc_id, r.text): r.x for r in docs.select("doc_id", "text", F.xxhash64("text").alias("x")).collect()}
+    want = spans_by_brute_force([(i, hashes[i, t], t) for i, t in small])
+    mine = sorted(((r.doc_id, r.n_sentences, r.n_repeated, r.n_removed, r.text) for r in got if r.doc_id != 500), key=str)
+    # the long row only repeats itself and the row after it
+    theirs = [(i, *want[i, hashes[i, t]]) for i, t in small if i != 501]
+    assert sorted((r for r in mine if r[0] != 501), key=str) == sorted(((i, n, h, g, None if t0 is None else t) for (i, t0), (_, n, h, g, t) in zip([x for x in small if x[0] != 501], theirs, strict=True)), key=str)
+    by = {r.doc_id: r for r in got}
+    assert (by[500].n_sentences, by[500].n_removed, by[501].n_removed) == (3001, 2999, 50)
+
+
+def test_substring_takes_ids_of_any_type(spark):
+    text = "Some words that make a sentence of fair length here. And another sentence of about the same length there."
+    docs = spark.createDataFrame([("b", text), ("a", text), (None, text)], "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()}
+    assert got == {"a": 0, "b": 2, None: 2}
+
+
 def test_html_blocks():
     page = """<html><head><title>x</title></head><body><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies on the site for you and us.</div>
     <article><h1>Title &eacute;</h1><p>The quick brown fox is in the house and it was there with the dog for a long time.<p>Short.
