@@ -1,10 +1,13 @@
-"""Text functions as Column expressions; all run inside the JVM."""
+"""Text functions as Column expressions, all inside the JVM but for n-grams (Arrow and NumPy)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import grams
+
 #: Fixed value: every white-space character of Unicode, and the four ASCII separators.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Fixed value: a span of 3 to 20 characters, three times or more in a row.
@@ -62,19 +65,22 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(all_ngrams(text, n))).otherwise(short)
 
 
-def most_frequent(items: Column) -> Column:
-    """How often the most frequent item stands in an array; empty: 0."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def char_ngram_ids(text: Column, n: int = 3) -> Column:
+    """The same set as numbers, ascending: what joins and counts use. Exact up to ``n`` = 3."""
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+    def run(x: pa.Array) -> pa.Array:
+        return grams.distinct(x, n)
 
-    return F.aggregate(F.sort_array(items), start, step, lambda a: a["best"])
+    return F.arrow_udf(run, "array<bigint>")(text)
 
 
 def max_ngram_count(text: Column, n: int = 5) -> Column:
-    return most_frequent(all_ngrams(text, n))
+    """How often the most frequent ``n``-character run stands in a text; none: 0."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return grams.most_frequent_count(x, n)
+
+    return F.arrow_udf(run, "int")(text)
 
 
 def has_repeated_span(text: Column) -> Column:
@@ -83,14 +89,10 @@ def has_repeated_span(text: Column) -> Column:
 
 def quality_flags(text: Column, min_chars: int = 80, max_chars: int = 700, repeats: int = 4) -> Column:
     """Names of the rules a compacted text breaks, in fixed order; an empty one breaks that rule alone."""
-
-    def flags(c: Column) -> Column:
-        n = F.length(c)
-        tests = [n < min_chars, n > max_chars, max_ngram_count(c) >= repeats, has_repeated_span(c)]
-        found = F.filter(F.array(*(F.when(t, F.lit(name)) for t, name in zip(tests, FLAGS[1:], strict=True))), lambda x: x.isNotNull())
-        return F.when(c == "", F.array(F.lit(FLAGS[0]))).otherwise(found)
-
-    return bind(text, flags)
+    n = F.length(text)
+    tests = [n < min_chars, n > max_chars, max_ngram_count(text) >= repeats, has_repeated_span(text)]
+    found = F.array_compact(F.array(*(F.when(t, F.lit(name)) for t, name in zip(tests, FLAGS[1:], strict=True))))
+    return F.when(text == "", F.array(F.lit(FLAGS[0]))).otherwise(found)
 
 
 def jaccard(shared: Column, left: Column, right: Column) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,31 +15,40 @@ from quillspark.functions import text as T
 
 #: Pool and report sizes, n-gram length, similarity that is flagged.
 POOL, TOP, N, FLAGGED = 20, 3, 3, 0.45
+#: N-grams of evaluation rows in one block (8 bytes each, and as much again to look them up):
+#: what goes to the workers at once, however many rows there are.
+BLOCK_GRAMS = 2_000_000
+#: Cells of a table of training rows by evaluation rows, and kept matches before they are pruned.
+CELLS, KEPT = 2_000_000, 200_000
 
 
 def gram_sets(rows: DataFrame, key: str, text: str, n: int = N) -> DataFrame:
     """``(key, form, grams, size)``: the normalised text and its n-gram set, once for each row."""
     out = rows.select(F.col(key).alias("key"), T.overlap_form(F.col(text)).alias("form"))
-    return out.withColumn("grams", T.char_ngrams(F.col("form"), n)).withColumn("size", F.size("grams"))
+    return out.withColumn("grams", T.char_ngram_ids(F.col("form"), n)).withColumn("size", F.size("grams"))
 
 
 def pool(evaluation: DataFrame, training: DataFrame, most: int = POOL) -> DataFrame:
     """The ``most`` training rows of highest Jaccard for each evaluation row, ties by training key.
 
-    Both sides are gram sets. An inverted index replaces the product: the evaluation side's distinct grams restrict the training
-    side's before any pair is formed, pairs are counted with partial sums on each side of the
-    shuffle, and the rank filter runs before rows meet. Training rows without a common gram fill
-    up short pools in key order: for those only the first ``most`` keys and the pool itself matter.
+    Both sides are gram sets. The evaluation rows are a query set and go to the workers in
+    blocks of a counted size, as an index from n-gram to rows; every training row counts what
+    it shares with all rows of the block at once. A task hands on its own best ``most`` a
+    question, so what is shuffled follows the questions, whatever grams are frequent.
+    Training rows without a common gram fill up short pools in key order: for those only the
+    first ``most`` keys and the pool itself matter.
     """
-    e = evaluation.select(F.col("key").alias("eval_key"), F.col("size").alias("eval_size"), "grams").where("eval_size > 0")
-    wanted = e.select("eval_key", "eval_size", F.explode("grams").alias("gram"))
-    vocabulary = wanted.select("gram").distinct()
-    t = training.select(F.col("key").alias("train_key"), F.col("size").alias("train_size"), F.explode("grams").alias("gram"))
-    t = t.join(vocabulary, "gram", "left_semi")
-    shared = t.join(wanted, "gram").groupBy("eval_key", "eval_size", "train_key", "train_size").agg(F.count("*").alias("shared"))
-    scored = shared.select("eval_key", "train_key", T.jaccard(F.col("shared"), F.col("eval_size"), F.col("train_size")).alias("ngram_jaccard"))
+    e = evaluation.select(F.col("key").alias("eval_key"), "grams", "size").where("size > 0 AND eval_key IS NOT NULL")
+    t = training.select(F.col("key").alias("train_key"), "grams").where((F.size("grams") > 0) & F.col("train_key").isNotNull())
+    kinds = e.schema["eval_key"].dataType.simpleString(), t.schema["train_key"].dataType.simpleString()
+    n_blocks = max(1, -(-(e.agg(F.sum("size")).first()[0] or 0) // BLOCK_GRAMS))
+    best = None
+    for block in range(n_blocks):
+        part = e.where(F.pmod(F.xxhash64("eval_key"), F.lit(n_blocks)) == block) if n_blocks > 1 else e
+        found = t.mapInArrow(_best(_index(part), most), f"eval_key {kinds[0]}, train_key {kinds[1]}, ngram_jaccard double")
+        best = found if best is None else best.union(found)
     rank = F.row_number().over(Window.partitionBy("eval_key").orderBy(F.desc("ngram_jaccard"), "train_key"))
-    best = scored.withColumn("pool_rank", rank).where(F.col("pool_rank") <= most).drop("pool_rank")
+    best = best.withColumn("pool_rank", rank).where(F.col("pool_rank") <= most).drop("pool_rank")
     # rows without a common gram: if a pool is short, all that share one are in it, and of the
     # first keys at most as many again can be needed
     spare = training.select(F.col("key").alias("train_key")).orderBy("train_key").limit(2 * most)
@@ -45,6 +57,88 @@ def pool(evaluation: DataFrame, training: DataFrame, most: int = POOL) -> DataFr
     return both.withColumn("pool_rank", rank).where(F.col("pool_rank") <= most)
 
 
+def _index(part: DataFrame):
+    """A broadcast of one block: keys, set sizes, distinct grams, and the rows that hold each."""
+    got = part.select("eval_key", "grams").toArrow().combine_chunks()
+    grams = got.column("grams").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int64()))
+    sizes = np.diff(grams.offsets.to_numpy()) if got.num_rows else np.zeros(0, np.int64)
+    flat = grams.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(flat, kind="stable")
+    values, starts = np.unique(flat[order], return_index=True)
+    holders = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
+    spark = part.sparkSession
+    return spark.sparkContext.broadcast((got.column("eval_key").combine_chunks() if got.num_rows else got.column("eval_key"), sizes, values, np.append(starts, len(flat)), holders))
+
+
+def _best(shared, most: int):
+    def prune(eval_, score, order, keys):
+        """The best ``most`` of each evaluation row, ties by key."""
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+        by = np.lexsort((rank[order], -score, eval_))
+        first = np.searchsorted(eval_[by], np.arange(eval_.max() + 2 if len(eval_) else 1))
+        keep = by[np.arange(len(by)) - first[eval_[by]] < most]
+        return eval_[keep], score[keep], keys[order[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes, values, starts, holders = shared.value
+        n = len(sizes)
+        if not n:
+            return
+        rows = max(1, CELLS // n)
+        held: list[tuple] = []
+        least, kind = np.zeros(n), None
+        for batch in batches:
+            kind = batch.column(0).type
+            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            grams = batch.column(1)
+            ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy(zero_copy_only=False)
+            for i in range(0, batch.num_rows, rows):
+                j = min(i + rows, batch.num_rows)
+                g = flat[ends[i] : ends[j]]
+                own = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+                spot = np.minimum(np.searchsorted(values, g), len(values) - 1)
+                hit = values[spot] == g
+                spot, own = spot[hit], own[hit]
+                shares = np.zeros((j - i) * n, np.int64)
+                for p in range(0, len(spot), 1 << 14):  # postings of some grams at once
+                    s, w = spot[p : p + (1 << 14)], own[p : p + (1 << 14)]
+                    count = starts[s + 1] - starts[s]
+                    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(starts[s], count)
+                    cell = np.repeat(w * n, count) + holders[at]
+                    shares += np.bincount(cell, minlength=len(shares)) if len(cell) * 4 > len(shares) else _few(cell, len(shares))
+                shares = shares.reshape(j - i, n)
+                both = np.diff(ends[i : j + 1])[:, None] + sizes[None, :] - shares
+                score = shares / both
+                r, q = np.nonzero((shares > 0) & (score >= least[None, :]))
+                held.append((q, score[r, q], keys[i + r]))
+                if sum(len(x[0]) for x in held) > max(KEPT, 4 * most * n):
+                    held = [_prune_all(held, prune)]
+                    q, s = held[0][0], held[0][1]
+                    full = np.bincount(q, minlength=n) >= most
+                    worst = np.full(n, np.inf)
+                    np.minimum.at(worst, q, s)
+                    least = np.where(full, worst, 0.0)
+        if held:
+            q, s, k = _prune_all(held, prune)
+            for p in range(0, len(q), 10_000):
+                part = slice(p, p + 10_000)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[part])), pa.array(k[part].tolist(), kind), pa.array(s[part])], names=["eval_key", "train_key", "ngram_jaccard"])
+
+    return run
+
+
+def _few(cell: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, cell, 1)
+    return out
+
+
+def _prune_all(held: list[tuple], prune) -> tuple:
+    q, s, k = (np.concatenate([x[i] for x in held]) for i in range(3))
+    return prune(q, s, np.arange(len(k)), k)
+
+
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype=float)
 
@@ -61,12 +155,22 @@ def sequence_similarity(left: str, right: str):
 def matches(evaluation: DataFrame, training: DataFrame, most: int = POOL, top: int = TOP) -> DataFrame:
     """The ``top`` matches of each evaluation row by the larger of the two similarities, ties by pool order.
 
-    The sequence ratio, the one Python step, sees only the pools.
+    The sequence ratio, one row at a time in Python, sees only the pools.
     """
-    found = pool(evaluation, training, most)
+    return best_matches(with_ratio(pool(evaluation, training, most), evaluation, training), top)
+
+
+def with_ratio(found: DataFrame, evaluation: DataFrame, training: DataFrame) -> DataFrame:
+    """A pool with ``sequence_similarity``."""
     found = found.join(evaluation.select(F.col("key").alias("eval_key"), F.col("form").alias("_e")), "eval_key")
     found = found.join(training.select(F.col("key").alias("train_key"), F.col("form").alias("_t")), "train_key")
-    found = found.withColumn("sequence_similarity", sequence_similarity("_e", "_t"))
+    # pairs cost as their texts are long: deal them out evenly, whatever the key
+    found = found.repartition(found.sparkSession.sparkContext.defaultParallelism, F.xxhash64("eval_key", "train_key"))
+    return found.withColumn("sequence_similarity", sequence_similarity("_e", "_t")).drop("_e", "_t")
+
+
+def best_matches(found: DataFrame, top: int = TOP) -> DataFrame:
+    """The report rows of pools that have both similarities."""
     found = found.withColumn("max_similarity", F.greatest("sequence_similarity", "ngram_jaccard"))
     rank = F.row_number().over(Window.partitionBy("eval_key").orderBy(F.desc("max_similarity"), "pool_rank"))
     out = found.withColumn("rank", rank).where(F.col("rank") <= top)

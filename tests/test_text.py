@@ -66,6 +66,17 @@ def test_char_ngrams(spark, value, want):
     assert one(spark, value, T.char_ngrams) == want
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text("ab😀é", max_size=30), min_size=1, max_size=20))
+def test_ngram_ids_name_the_same_sets(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    number = lambda g: sum((ord(c) + 1) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    for t, ids in rows.select("t", T.char_ngram_ids(F.col("t"))).collect():
+        t = t or ""
+        want = {t[i : i + 3] for i in range(len(t) - 2)} if len(t) >= 3 else ({t} if t else set())
+        assert ids == sorted(map(number, want))
+
+
 def test_stable_id(spark):
     assert one(spark, "题", lambda c: T.stable_id("prompt", c)) == "prompt_c9d6c8a34855"
 
