@@ -25,8 +25,11 @@ from xxhash import xxh3_64_intdigest
 
 from .common import small
 
-#: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 350_000
+#: Bytes that a worker's remembered pre-tokens may take, about, in each of two generations;
+#: what one entry takes besides its token and ids. A longer pre-token is not remembered.
+REMEMBERED, ENTRY, LONGEST = 16 << 20, 200, 200
+#: Characters from which on a text's pre-tokens are met one by one; ids decoded together.
+LONG, TOGETHER = 1 << 16, 1 << 16
 MASK = (1 << 64) - 1
 
 
@@ -117,9 +120,7 @@ class Codec:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.memory) > REMEMBERED:
-            self.memory = _Memory(self, self.memory)
-        tokens = self.split.findall(text) if len(text) < 1 << 20 else (m.group() for m in self.split.finditer(text))
+        tokens = self.split.findall(text) if len(text) < LONG else (m.group() for m in self.split.finditer(text))
         return b"".join(map(self.memory.__getitem__, tokens))
 
     def encode(self, text: str) -> list[int]:
@@ -130,20 +131,22 @@ class Codec:
 
 
 class _Memory(dict):
-    """Ids of pre-tokens seen before; a new one goes through the two tiers."""
+    """Ids of pre-tokens seen before, within a bound of bytes; a new one goes through the two tiers."""
 
-    def __init__(self, codec: Codec, older: dict | None = None) -> None:
-        self.codec, self.older = codec, dict(older or ())
+    def __init__(self, codec: Codec) -> None:
+        self.codec, self.older, self.room = codec, {}, REMEMBERED
 
     def __missing__(self, token: str) -> bytes:
-        if (out := self.older.get(token)) is not None:
-            self[token] = out
-            return out
-        raw = token.encode()
-        rank = self.codec.hash.get(raw)
-        ids = [rank] if rank >= 0 else self.codec.merge(raw)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) < 200:
+        if (out := self.older.get(token)) is None:
+            raw = token.encode()
+            rank = self.codec.hash.get(raw)
+            ids = [rank] if rank >= 0 else self.codec.merge(raw)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(token) < LONGEST:
+            self.room -= ENTRY + len(token) + len(out)
+            if self.room < 0:  # what is used again comes back from the older generation
+                self.older, self.room = dict(self), REMEMBERED
+                self.clear()
             self[token] = out
         return out
 
@@ -187,7 +190,10 @@ def encode(docs: DataFrame, vocabulary: tuple[dict[bytes, int], PerfectHash], pa
                 ids = np.frombuffer(raw, "<u4")
                 n.append(len(ids))
                 ids_hash.append(sha256(raw).hexdigest())
-                text_hash.append(sha256(codec.decode(ids.tolist())).hexdigest())
+                decoded = sha256()
+                for k in range(0, len(ids), TOGETHER):
+                    decoded.update(codec.decode(ids[k : k + TOGETHER].tolist()))
+                text_hash.append(decoded.hexdigest())
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
