@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import schemas
@@ -28,36 +28,66 @@ def viable(scored: DataFrame, min_chars: int = 80, max_chars: int = 700) -> Data
 def deduplicate(rows: DataFrame) -> DataFrame:
     """One row for each prompt and compacted text: the reference, else the highest reward, else the first.
 
-    ``gpos`` is the place of the group's first member, whichever survives. A group is
-    aggregated, not collected: two minima by key, combined before the shuffle.
+    Texts are told apart by a 128-bit hash: pass rows without their texts (see
+    :func:`with_answers`) and none is shuffled. ``gpos`` is the place of the group's first
+    member, whichever survives. A group is aggregated, not collected: two minima by key,
+    combined before the shuffle.
     """
     others = [c for c in rows.columns if c not in ("prompt_id", "_c")]
     best = F.struct((~F.col("is_ref")).cast("int").alias("o1"), (-F.col("reward")).alias("o2"), F.col("pos").alias("o3"))
-    kept = rows.groupBy("prompt_id", "_c").agg(F.min("pos").alias("gpos"), F.min_by(F.struct(*others), best).alias("_r"))
-    return kept.select("prompt_id", "_c", "gpos", *(F.col(f"_r.{c}").alias(c) for c in others))
+    kept = rows.groupBy("prompt_id", F.md5(F.col("_c").cast("binary")).alias("_h")).agg(F.min("pos").alias("gpos"), F.min_by(F.struct(*others), best).alias("_r"))
+    return kept.select("prompt_id", "gpos", *(F.col(f"_r.{c}").alias(c) for c in others))
+
+
+#: Rewards nearer than this to the edge of a band are settled by the difference itself.
+EDGE = 1e-9
 
 
 def select_pairs(unique: DataFrame, min_margin: float = 0.5, max_margin: float = 8.0, fallback: bool = True) -> DataFrame:
     """The pair of each prompt: chosen and rejected as structs, and the margin.
 
     The first chosen wins that has a rejected in the band: the reference, then (with
-    ``fallback``) by reward. Its rejected is the nearest one below, which an as-of pass
-    finds: answers, and the points ``reward - min_margin`` they look down from, in one
-    order; the last answer before a point is the candidate. Work is that of one sort of a
-    prompt's rows, not of its pairs.
+    ``fallback``) by reward. Its rejected has the least margin, the first of equals.
+    Of answers with equal rewards only the first can be chosen, so a prompt's rows are
+    first reduced to one for each reward, before the shuffle too. An as-of pass over the
+    rewards finds the nearest below: work is that of one sort of a prompt's rewards, not of
+    its pairs. Whether a margin is in the band is asked of the difference of the two
+    rewards; those within :data:`EDGE` of the lower edge are looked at one by one. The
+    rejected itself is looked up at the end, for one chosen a prompt.
     """
     row = F.struct(*[c for c in unique.columns if c != "prompt_id"])
-    answers = unique.select("prompt_id", F.col("reward").alias("at"), F.lit(0).alias("kind"), F.col("gpos").alias("g"), row.alias("row"))
-    asking = unique if fallback else unique.where("is_ref")
-    points = asking.select("prompt_id", (F.col("reward") - F.lit(min_margin)).alias("at"), F.lit(1).alias("kind"), F.col("gpos").alias("g"), row.alias("row"))
-    order = Window.partitionBy("prompt_id").orderBy("at", "kind", F.desc("g")).rowsBetween(Window.unboundedPreceding, 0)
-    below = F.last(F.when(F.col("kind") == 0, F.col("row")), ignorenulls=True).over(order)
-    found = answers.unionByName(points).withColumn("rejected", below).where("kind = 1 AND rejected IS NOT NULL")
-    margin = F.col("row.reward") - F.col("rejected.reward")
-    found = found.select("prompt_id", F.col("row").alias("chosen"), "rejected", margin.alias("margin")).where(margin.between(min_margin, max_margin))
+    ref = F.when(F.col("is_ref"), row)
+    firsts = unique.groupBy("prompt_id", "reward").agg(F.min_by(row, "gpos").alias("row"), F.min_by(ref, F.when(F.col("is_ref"), F.col("gpos"))).alias("ref"), F.count("*").alias("n"))
+    asking = firsts.where("ref IS NOT NULL").select("prompt_id", "reward", F.col("ref").alias("row"), "n")
+    if fallback:
+        asking = asking.unionByName(firsts.drop("ref"))
+    answers = firsts.select("prompt_id", F.col("reward").alias("at"), "reward", F.lit(0).alias("kind"), F.lit(None).cast(firsts.schema["row"].dataType).alias("row"), "n")
+    points = asking.select("prompt_id", (F.col("reward") - F.lit(min_margin) + F.lit(EDGE)).alias("at"), "reward", F.lit(1).alias("kind"), "row", "n")
+    over = "OVER (PARTITION BY prompt_id ORDER BY at RANGE BETWEEN {} PRECEDING AND {})"
+    answer, width = "CASE WHEN kind = 0 THEN reward END", f"CAST({2 * EDGE} AS DOUBLE)"
+    found = answers.unionByName(points)
+    found = found.withColumn("_below", F.expr(f"last({answer}, true) " + over.format("UNBOUNDED", f"{width} PRECEDING")))
+    found = found.withColumn("_edge", F.expr(f"collect_list({answer}) " + over.format(width, "CURRENT ROW"))).where("kind = 1")
+    near = F.filter(F.transform("_edge", lambda x: F.when(x < F.col("reward"), F.col("reward") - x)), lambda m: m >= min_margin)
+    margin = F.coalesce(F.array_min(near), F.col("reward") - F.col("_below"))
+    if min_margin <= 0:
+        margin = F.when(F.col("n") > 1, 0.0).otherwise(margin)
+    found = found.select("prompt_id", F.col("row").alias("chosen"), margin.alias("margin")).where(F.col("margin").between(min_margin, max_margin))
     first = F.struct((~F.col("chosen.is_ref")).cast("int"), -F.col("chosen.reward"), F.col("chosen.gpos"))
-    best = found.groupBy("prompt_id").agg(F.min_by(F.struct("chosen", "rejected", "margin"), first).alias("p"))
-    return best.select("prompt_id", "p.*")
+    best = found.groupBy("prompt_id").agg(F.min_by(F.struct("chosen", "margin"), first).alias("p")).select("prompt_id", "p.*")
+    met = best.join(unique.select("prompt_id", row.alias("_o")), "prompt_id")
+    met = met.where((F.col("chosen.reward") - F.col("_o.reward") == F.col("margin")) & (F.col("_o.gpos") != F.col("chosen.gpos")))
+    return met.groupBy("prompt_id").agg(F.first("chosen").alias("chosen"), F.min_by("_o", "_o.gpos").alias("rejected"), F.first("margin").alias("margin"))
+
+
+def with_answers(found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Pairs whose two sides get ``columns`` of the rows of the same prompt and place."""
+    for side in ("chosen", "rejected"):
+        more = rows.select(F.col("prompt_id").alias("_p"), F.col("pos").alias("_s"), *(F.col(c).alias(f"_{c}") for c in columns))
+        met = found.join(more, (F.col("prompt_id") == F.col("_p")) & (F.col(f"{side}.pos") == F.col("_s")), "left")
+        met = met.withColumn(side, F.when(F.col(side).isNotNull(), F.struct(f"{side}.*", *(F.col(f"_{c}").alias(c) for c in columns))))
+        found = met.drop("_p", "_s", *(f"_{c}" for c in columns))
+    return found
 
 
 def outcomes(prompts: DataFrame, unique: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -46,8 +46,10 @@ def score(spark: SparkSession, o: PairOptions, judge=None) -> None:
 
 def candidates_of(scored: DataFrame) -> DataFrame:
     """Scored log rows in the shape pair selection takes; keys once."""
-    rows = scored.dropDuplicates(["prompt_id", "candidate_id"])
-    place = F.struct((F.col("candidate_source") != "sft_reference").alias("a"), F.regexp_extract("candidate_id", r"_(\d+)$", 1).alias("b"), F.col("candidate_id").alias("c"))
+    whole = F.struct(*[c for c in scored.columns if c not in ("prompt_id", "candidate_id")])
+    first = F.struct(*(F.col(c) for c in ("scored_at_utc", "answer", "judge_reward") if c in scored.columns))
+    rows = scored.groupBy("prompt_id", "candidate_id").agg(F.min_by(whole, first).alias("r")).select("prompt_id", "candidate_id", "r.*")
+    place = F.struct((F.col("candidate_source") != "sft_reference").alias("a"), F.try_to_number(F.regexp_extract("candidate_id", r"_(\d+)$", 1), F.lit("999999999")).cast("int").alias("b"), F.col("candidate_id").alias("c"))
     return rows.select(
         "prompt_id", place.alias("pos"), (F.col("candidate_source") == "sft_reference").alias("is_ref"), "answer", F.col("judge_reward").alias("reward"), "temperature", "candidate_id"
     )
@@ -56,9 +58,10 @@ def candidates_of(scored: DataFrame) -> DataFrame:
 def build(spark: SparkSession, selected: DataFrame, o: PairOptions) -> dict:
     """Pairs, training file, audit sheet and reports from the scored log; all replaced."""
     scored = prompts.require_rows(files.read_jsonl(spark, o.scored_path or f"{o.output_dir}/scored_candidates.jsonl", schemas.SCORED), "the scored log")
-    unique = preference.deduplicate(preference.viable(candidates_of(scored), o.min_answer_chars, o.max_answer_chars))
+    rows = candidates_of(scored)
+    unique = preference.deduplicate(preference.viable(rows, o.min_answer_chars, o.max_answer_chars).drop("answer"))
     pairs = preference.select_pairs(unique, o.min_margin, o.max_margin, o.sample_chosen_fallback)
-    results = preference.outcomes(selected, unique, pairs)
+    results = preference.with_answers(preference.outcomes(selected, unique, pairs), rows, "answer")
     out = o.output_dir
     sinks.replace_jsonl(preference.records(results, o.judge_model), f"{out}/preference_pairs.jsonl")
     kept = files.read_jsonl(spark, f"{out}/preference_pairs.jsonl", schemas.PAIR)

@@ -87,7 +87,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 def unique(spark: SparkSession, d: str) -> DataFrame:
     """Viable answers once; the lowest id of each source becomes the reference."""
-    rows = preference.deduplicate(preference.viable(scored(spark, d)))
+    rows = preference.deduplicate(preference.viable(scored(spark, d)).drop("answer"))
     first = rows.groupBy("prompt_id").agg(F.min("pos").alias("_first"))
     return rows.join(first, "prompt_id").withColumn("is_ref", F.col("pos") == F.col("_first")).drop("_first")
 
@@ -98,8 +98,9 @@ def results(spark: SparkSession, d: str, fallback: bool = True) -> DataFrame:
     return preference.outcomes(listed, rows, preference.select_pairs(rows, fallback=fallback))
 
 
-def _pair_rows(found: DataFrame) -> DataFrame:
-    return found.where("margin IS NOT NULL").select(
+def _pair_rows(spark, d, **options) -> DataFrame:
+    found = results(spark, d, **options).where("margin IS NOT NULL")
+    return preference.with_answers(found, scored(spark, d), "answer").select(
         "prompt_id", F.col("chosen.pos").alias("chosen_id"), F.col("rejected.pos").alias("rejected_id"), F.col("chosen.reward").alias("chosen_reward"), F.col("rejected.reward").alias("rejected_reward"),
         F.col("margin").alias("judge_margin"), F.when(F.col("chosen.is_ref"), "sft_reference").otherwise("sft_sample").alias("chosen_source"), F.col("viable").alias("viable_candidate_count"),
         F.col("chosen.answer").alias("chosen"), F.col("rejected.answer").alias("rejected"),
@@ -114,12 +115,12 @@ from p join cnt using (g)"""
 
 @query(_pairs() + _PAIR_SQL)
 def preference_pairs(spark, d):
-    return _pair_rows(results(spark, d))
+    return _pair_rows(spark, d)
 
 
 @query(_pairs("c.ref") + _PAIR_SQL)
 def preference_pairs_no_fallback(spark, d):
-    return _pair_rows(results(spark, d, fallback=False))
+    return _pair_rows(spark, d, fallback=False)
 
 
 _REASON = f"case when m is not null then null when viable < 2 then '{preference.TOO_FEW}' else '{preference.NO_NEGATIVE}' end"
@@ -137,7 +138,7 @@ def pair_margin_stats(spark, d):
 
 @query(_pairs() + " select case when ref then 'sft_reference' else 'sft_sample' end as chosen_source, count(*)::bigint as n from p group by 1")
 def pair_source_counts(spark, d):
-    return preference.counts_by(_pair_rows(results(spark, d)), "chosen_source")
+    return preference.counts_by(_pair_rows(spark, d), "chosen_source")
 
 
 @query(_pairs() + " select count(*)::bigint as selected_prompts, count(m)::bigint as preference_pairs, case when count(*) = 0 then 0.0::double else round(count(m) / count(*), 4) end as retention_rate from res")
@@ -334,7 +335,7 @@ def sft_rows(spark, d):
 
 @query(_pairs() + " select g as instruction, '' as input, ct as chosen, xt as rejected from p")
 def dpo_rows(spark, d):
-    return formats.dpo_rows(_pair_rows(results(spark, d)).withColumnRenamed("prompt_id", "question"))
+    return formats.dpo_rows(_pair_rows(spark, d).withColumnRenamed("prompt_id", "question"))
 
 
 @query(f"with {TURNS} select conv_id, '[{{\"role\":\"user\",\"content\":' || to_json(question)::varchar || '}}]' as messages from t where question is not null")

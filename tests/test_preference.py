@@ -59,6 +59,28 @@ def test_margin_edges(spark, margin, inside):
     assert preference.select_pairs(unique, fallback=False).count() == inside
 
 
+@pytest.mark.parametrize("fallback", [True, False])
+def test_pairs_of_rewards_that_no_binary_fraction_holds(spark, fallback):
+    rng = random.Random(8)
+    rows, want = [("e", "a", True, 0, "a", 0.6), ("e", "b", False, 1, "b", 0.1)], {"e": ((0, 1), 2)}
+    assert model([r[1:4] + r[5:] for r in rows], fallback)[0] == (0, 1)
+    for g in range(150):
+        group = [(f"t{p}", p == 2, p, rng.choice([rng.randint(0, 30) / 10, 0.1 * rng.randint(0, 30), rng.randint(0, 30) * 0.7 / 7])) for p in range(rng.randint(0, 9))]
+        want[f"p{g}"] = model(group, fallback)
+        rows += [(f"p{g}", c, ref, pos, c, reward) for c, ref, pos, reward in group]
+    unique = preference.deduplicate(spark.createDataFrame(rows, SHAPE).drop("answer"))
+    got = {r.prompt_id: (r.chosen.pos, r.rejected.pos) for r in preference.select_pairs(unique, fallback=fallback).collect()}
+    assert got == {k: v[0] for k, v in want.items() if v[0]}
+    answered = preference.with_answers(preference.select_pairs(unique), spark.createDataFrame(rows, SHAPE), "answer").where("prompt_id = 'e'").first()
+    assert (answered.chosen.answer, answered.rejected.answer) == ("a", "b")
+
+
+def test_a_margin_of_nothing_pairs_equal_rewards(spark):
+    rows = [("p", "a", False, 0, "a", 1.0), ("p", "b", False, 1, "b", 1.0), ("p", "c", False, 2, "c", 0.9)]
+    pair = preference.select_pairs(preference.deduplicate(spark.createDataFrame(rows, SHAPE)), 0.0, 8.0).first()
+    assert (pair.chosen.pos, pair.rejected.pos, pair.margin) == (0, 1, 0.0)
+
+
 def test_deduplication_prefers_the_reference_and_keeps_the_first_place(spark):
     rows = [("p", "x", False, 0, "x", 9.0), ("p", "x", True, 1, "x", 1.0), ("q", "y", False, 0, "y", 1.0), ("q", "y", False, 1, "y", 2.0)]
     got = {r.prompt_id: r for r in preference.deduplicate(spark.createDataFrame(rows, SHAPE)).collect()}
