@@ -133,8 +133,8 @@ def _grouped(group: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[l
     """The distinct groups, and each one's values as bytes."""
     by = np.argsort(group, kind="stable")
     names, starts = np.unique(group[by], return_index=True)
-    ends = np.append(starts[1:], len(group))
-    return names, [[v[by][p:q].tobytes() for p, q in zip(starts, ends, strict=True)] for v in values] if len(names) else [[] for _ in values]
+    ends = np.append(starts[1:], len(group))[: len(names)]
+    return names, [[v[p:q].tobytes() for p, q in zip(starts, ends, strict=True)] for v in (v[by] for v in values)]
 
 
 def _sent_schema(kind: pa.DataType) -> pa.Schema:
