@@ -141,6 +141,23 @@ def fill_prompt(question: Column, intent: Column, points: Column) -> Column:
     return F.concat(F.lit("问题："), F.coalesce(question, F.lit("")), F.lit("\n"), line("考察意图：", intent), line("期望要点：", points), F.lit("回答："))
 
 
+def with_shots(instructions: str, shots: list[tuple[str, str]]) -> str:
+    """A system text: instructions, then worked examples of question and answer in the prompt's own form."""
+    examples = "\n\n".join(f"问题：{q}\n回答：{a}" for q, a in shots)
+    return f"{instructions}\n\n{examples}" if shots else instructions
+
+
+def system_messages(system: str, prompt: Column) -> Column:
+    """A system turn and a user turn as a message list."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.array(turn("system", F.lit(system)), turn("user", prompt))
+
+
+def preview(text: Column, n: int) -> Column:
+    """The first ``n`` characters for logs and messages, with an ellipsis where something is left out."""
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
+
+
 def ends_naturally(text: Column) -> Column:
     """Whether the last visible character ends a sentence."""
     return F.right(strip(F.coalesce(text, F.lit(""))), F.lit(1)).isin(*SENTENCE_ENDS)

@@ -86,6 +86,10 @@ def merge_logs(*logs: DataFrame) -> DataFrame:
     return out
 
 
+#: Characters of a failed row's error that are kept.
+ERROR_CHARS = 200
+
+
 def complete(rows: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str = "prompt", tries: int = 3, pause: float = 5.0) -> DataFrame:
     """Answers from a remote completion service, with the error where it fails ``tries`` times.
 
@@ -104,7 +108,7 @@ def complete(rows: DataFrame, client: Callable[[], Callable[[str], str]], prompt
                         answer, error = ask(text).strip(), None
                         break
                     except Exception as e:  # noqa: BLE001 - the row carries it
-                        error = str(e)[:200]
+                        error = str(e)[:ERROR_CHARS]
                         if k + 1 < tries:
                             time.sleep(pause)
                 answers.append(answer)
@@ -123,3 +127,29 @@ PROVIDERS = {
     "moonshot": ("https://api.moonshot.cn", "moonshot-v1-8k"),
     "ollama": ("http://localhost:11434", "llama3.1:8b"),
 }
+#: How answers are sampled, and seconds until a call is given up.
+SAMPLING, TIMEOUT = {"temperature": 0.45, "top_p": 0.9, "max_tokens": 500}, 60
+
+
+def chat_client(provider: str, key: str = "", system: str = "", timeout: float = TIMEOUT) -> Callable[[], Callable[[str], str]]:
+    """A client for :func:`complete` that speaks the chat completion protocol of a service."""
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider: {provider}; one of {', '.join(PROVIDERS)}")
+    if not key and provider != "ollama":
+        raise ValueError(f"{provider} needs a key")
+    base, model = PROVIDERS[provider]
+
+    def connect() -> Callable[[str], str]:
+        import json
+        from urllib.request import Request, urlopen
+
+        def ask(text: str) -> str:
+            turns = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": text}]
+            body = json.dumps({"model": model, "messages": turns, **SAMPLING}).encode()
+            request = Request(f"{base}/v1/chat/completions", body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+            with urlopen(request, timeout=timeout) as reply:
+                return json.load(reply)["choices"][0]["message"]["content"]
+
+        return ask
+
+    return connect

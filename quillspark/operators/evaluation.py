@@ -73,6 +73,12 @@ def bootstrap(pairs: DataFrame, order: str, delta: str, seed: int, resamples: in
     )
 
 
+def missing_fields(rows: DataFrame, *fields: str) -> DataFrame:
+    """``(field, missing)``: how many rows lack each field."""
+    counts = rows.agg(*(F.count_if(F.col(f).isNull()).alias(f) for f in fields))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("missing")) for f in fields))).alias("r")).select("r.*")
+
+
 def require_fields(rows: DataFrame, *fields: str) -> DataFrame:
     """Fail unless every row has every field."""
     missing = [f for f in fields if f not in rows.columns]
@@ -89,6 +95,18 @@ def question_points(rows: DataFrame) -> DataFrame:
     return rows.withColumn("expected_points_json", F.to_json("expected_points")).withColumn("prompt", T.chatml(F.col("question"))).drop("expected_points")
 
 
+def comparison_rows(rows: DataFrame, base: Column, tuned: Column) -> DataFrame:
+    """Evaluation rows with the answers of two models side by side."""
+    return rows.select("id", "role", "difficulty", "question_type", "question", "expected_points_json", base.alias("base_answer"), tuned.alias("sft_answer"))
+
+
+def staged_answers(run: DataFrame, model: Column, score: Column) -> DataFrame:
+    """A demo run's rows with answers where a trained stage has a question, and their scores and buckets."""
+    answer = F.when(F.col("to_score"), model).otherwise(F.col("answer"))
+    out = run.withColumn("answer", answer).withColumn("score", F.when(F.col("to_score"), score))
+    return out.withColumn("bucket", T.score_bucket(F.col("score"))).withColumn("score_text", T.score_text(F.col("score")))
+
+
 def staged_run(questions: DataFrame, stages: DataFrame) -> DataFrame:
     """Question x stage rows of a demo run; blank questions and untrained stages have no score to come."""
     rows = questions.crossJoin(F.broadcast(stages))

@@ -54,17 +54,17 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, limit: int, seed: int) -> DataFrame:
-    """Round robin over the strata in order, each in the order of a seeded hash; 0 or a large limit: all.
+    """Round robin over the strata in order, each in the order of a seeded hash; 0 or a large limit: all. By key.
 
     Hash order stands in for a shuffled list. At most ``limit`` rows of a stratum can be
     taken, and the rank filter keeps only those before rows meet.
     """
     if limit <= 0:
-        return rows
+        return rows.orderBy(key)
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(order, key))
     ranked = rows.withColumn("_turn", turn).where(F.col("_turn") <= limit)
-    return ranked.orderBy("_turn", F.col(stratum).asc_nulls_last(), order).limit(limit).drop("_turn")
+    return ranked.orderBy("_turn", F.col(stratum).asc_nulls_last(), order).limit(limit).drop("_turn").orderBy(key)
 
 
 def answered(answer: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import platform
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schemas
 from quillspark.operators import candidates, formats, judging, preference, prompts
 from quillspark.plans.options import PairOptions
-from quillspark.sources import files, sinks
+from quillspark.sources import files, scratch, sinks
 
 
 def select_prompts(spark: SparkSession, o: PairOptions) -> DataFrame:
@@ -59,7 +62,7 @@ def build(spark: SparkSession, selected: DataFrame, o: PairOptions) -> dict:
     """Pairs, training file, audit sheet and reports from the scored log; all replaced."""
     scored = prompts.require_rows(files.read_jsonl(spark, o.scored_path or f"{o.output_dir}/scored_candidates.jsonl", schemas.SCORED), "the scored log")
     rows = candidates_of(scored)
-    unique = preference.deduplicate(preference.viable(rows, o.min_answer_chars, o.max_answer_chars).drop("answer"))
+    unique = scratch.cut(preference.deduplicate(preference.viable(rows, o.min_answer_chars, o.max_answer_chars).drop("answer")))
     pairs = preference.select_pairs(unique, o.min_margin, o.max_margin, o.sample_chosen_fallback)
     results = preference.with_answers(preference.outcomes(selected, unique, pairs), rows, "answer")
     out = o.output_dir
@@ -79,7 +82,9 @@ def build(spark: SparkSession, selected: DataFrame, o: PairOptions) -> dict:
 def run(spark: SparkSession, o: PairOptions, model=candidates.stand_in_answer, judge=None) -> dict | None:
     """The stages that ``o.stage`` names."""
     selected = select_prompts(spark, o)
-    sinks.write_json_document(spark, f"{o.output_dir}/run_manifest.json", {k: v for k, v in o.__dict__.items()} | {"selected_prompts": selected.count()})
+    versions = {"spark": spark.version, "python": platform.python_version()}
+    manifest = dict(o.__dict__) | {"selected_prompts": selected.count(), "written_at_utc": datetime.now(UTC).isoformat(timespec="seconds"), "versions": versions}
+    sinks.write_json_document(spark, f"{o.output_dir}/run_manifest.json", manifest)
     if o.stage in ("all", "generate"):
         generate(spark, selected, o, model)
     if o.stage in ("all", "score"):

@@ -11,8 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark import schemas
 from quillspark.functions import text as T
 from quillspark.operators import candidates, evaluation, formats, judging, overlap, preference, prompts
+from quillspark.plans import compare, demo
+from quillspark.sources import files, scratch, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,15 +64,22 @@ SPANS = f"""eq as (select doc_id, i, unnest([{", ".join(f"case when x = {_NEXT(p
 sp as materialized (select distinct doc_id from (select doc_id, p, i - row_number() over (partition by doc_id, p order by i) as run from eq where p is not null)
   group by doc_id, p, run having count(*) >= 2 * p)"""
 IN_BAND = "n between 80 and 700"
-VIABLE = f"""with {CHARS}, {_each(IN_BAND)}, {GRAMS}, {SPANS},
-v as (select source as g, doc_id as pos, text, c, {REWARD.replace(COMPACT, "c")} as rw from f join ng using (doc_id)
+DECIMAL = f"(('0x' || substr(md5({COMPACT}), 1, 4))::int % 160) / 10.0::double"
+
+
+def _viable(reward: str = REWARD) -> str:
+    return f"""with {CHARS}, {_each(IN_BAND)}, {GRAMS}, {SPANS},
+v as (select source as g, doc_id as pos, text, c, {reward.replace(COMPACT, "c")} as rw from f join ng using (doc_id)
       where {IN_BAND} and m < 4 and doc_id not in (select doc_id from sp)),
 r as (select *, min(pos) over (partition by g, c) as gpos, row_number() over (partition by g, c order by rw desc, pos) as rn from v),
 w as materialized (select *, pos = min(pos) over (partition by g) as ref from r where rn = 1)"""
 
 
-def _pairs(chosen: str = "true") -> str:
-    return f"""{VIABLE},
+VIABLE = _viable()
+
+
+def _pairs(chosen: str = "true", reward: str = REWARD) -> str:
+    return f"""{_viable(reward)},
 j as (select c.g, c.pos as cp, x.pos as xp, c.ref, c.rw as crw, x.rw as xrw, c.rw - x.rw as m, c.text as ct, x.text as xt,
              row_number() over (partition by c.g order by c.ref desc, c.rw desc, c.gpos, c.rw - x.rw, x.gpos) as k
       from w c join w x on c.g = x.g and c.pos <> x.pos where c.rw - x.rw between 0.5 and 8 and {chosen}),
@@ -79,21 +89,26 @@ res as (select s.g, coalesce(viable, 0) as viable, p.m, p.ref from (select disti
 
 
 # --- preference pairs -----------------------------------------------------------------------
-def scored(spark: SparkSession, d: str) -> DataFrame:
+def decimal_reward(text) -> object:
+    """The stand-in in tenths: differences of such numbers are rounded."""
+    return (F.conv(F.substring(F.md5(T.compact(text)), 1, 4), 16, 10).cast("int") % 160) / F.lit(10.0)
+
+
+def scored(spark: SparkSession, d: str, reward=judging.stand_in_reward) -> DataFrame:
     return docs(spark, d).select(
-        F.col("source").alias("prompt_id"), F.col("doc_id").alias("pos"), F.lit(False).alias("is_ref"), F.col("text").alias("answer"), judging.stand_in_reward(F.col("text")).alias("reward")
+        F.col("source").alias("prompt_id"), F.col("doc_id").alias("pos"), F.lit(False).alias("is_ref"), F.col("text").alias("answer"), reward(F.col("text")).alias("reward")
     )
 
 
-def unique(spark: SparkSession, d: str) -> DataFrame:
+def unique(spark: SparkSession, d: str, reward=judging.stand_in_reward) -> DataFrame:
     """Viable answers once; the lowest id of each source becomes the reference."""
-    rows = preference.deduplicate(preference.viable(scored(spark, d)).drop("answer"))
+    rows = scratch.cut(preference.deduplicate(preference.viable(scored(spark, d, reward)).drop("answer")))
     first = rows.groupBy("prompt_id").agg(F.min("pos").alias("_first"))
     return rows.join(first, "prompt_id").withColumn("is_ref", F.col("pos") == F.col("_first")).drop("_first")
 
 
-def results(spark: SparkSession, d: str, fallback: bool = True) -> DataFrame:
-    rows = unique(spark, d)
+def results(spark: SparkSession, d: str, fallback: bool = True, reward=judging.stand_in_reward) -> DataFrame:
+    rows = unique(spark, d, reward)
     listed = docs(spark, d).select(F.col("source").alias("prompt_id")).distinct()
     return preference.outcomes(listed, rows, preference.select_pairs(rows, fallback=fallback))
 
@@ -123,6 +138,52 @@ def preference_pairs_no_fallback(spark, d):
     return _pair_rows(spark, d, fallback=False)
 
 
+@query(_pairs(reward=DECIMAL) + _PAIR_SQL)
+def preference_pairs_decimal(spark, d):
+    """Rewards in tenths, whose differences meet the band's edges only up to rounding."""
+    return _pair_rows(spark, d, reward=decimal_reward)
+
+
+@query(_pairs("c.ref", DECIMAL) + _PAIR_SQL)
+def preference_pairs_decimal_no_fallback(spark, d):
+    return _pair_rows(spark, d, fallback=False, reward=decimal_reward)
+
+
+def _record_rows(spark, d) -> DataFrame:
+    """Records of 20 fields; the source stands for role and question."""
+    found = preference.with_answers(results(spark, d), scored(spark, d), "answer")
+    named = found.withColumns({"role": F.concat(F.lit("r"), F.length("prompt_id").cast("string")), "question": F.concat(F.lit("Q "), "prompt_id")})
+    named = named.withColumns({c: F.lit("") for c in ("category", "skill", "difficulty", "question_type", "source_type")})
+    return preference.records(named)
+
+
+_RECORD = """g as prompt_id, 'r' || length(g)::varchar as role, '' as category, '' as skill, '' as difficulty, '' as question_type, '' as source_type, 'Q ' || g as question,
+'[{"role":"user","content":' || to_json('Q ' || g)::varchar || '}]' as prompt, ct as chosen, xt as rejected, case when ref then 'sft_reference' else 'sft_sample' end as chosen_source,
+null::double as chosen_temperature, crw as chosen_reward, null::double as rejected_temperature, xrw as rejected_reward, m as judge_margin, viable::bigint as viable_candidate_count,
+'stand-in' as judge_model, 'reference_first_then_top_sample_hard_negative' as selection_policy"""
+
+
+@query(_pairs() + f" select {_RECORD} from (select p.*, viable from p join cnt using (g))")
+def preference_records(spark, d):
+    return _record_rows(spark, d).withColumn("prompt", F.to_json("prompt"))
+
+
+@query(_pairs() + f" select {', '.join(schemas.AUDIT)} from (select {_RECORD} from (select p.*, viable from p join cnt using (g)))")
+def audit_sheet(spark, d):
+    """The audit sheet, written as a report and read again."""
+    path = scratch.new_path(spark)
+    sinks.write_csv(preference.audit(_record_rows(spark, d)), path, single=True)
+    rows = files.read_csv(spark, path)
+    numbers = [c for c in rows.columns if c.endswith(("_reward", "_temperature", "_margin"))]
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit("")).cast("double") for c in numbers})
+
+
+@query(_pairs() + " select coalesce('{' || string_agg('\"' || g || '\":' || n, ',' order by g) || '}', '{}') as sources from (select g, count(*) as n from p group by g)")
+def pair_count_map(spark, d):
+    """Counts of pairs by prompt as one object with sorted keys."""
+    return preference.count_map(results(spark, d).where("margin IS NOT NULL"), "prompt_id", "sources").select(F.to_json("sources").alias("sources"))
+
+
 _REASON = f"case when m is not null then null when viable < 2 then '{preference.TOO_FEW}' else '{preference.NO_NEGATIVE}' end"
 
 
@@ -223,6 +284,40 @@ def _overlap_sides(spark, d):
     return overlap.gram_sets(table(spark, d, "benchmark"), "item_id", "text"), overlap.gram_sets(docs(spark, d), "doc_id", "text")
 
 
+@query(_POOL + """, p as (select *, ('0x' || substr(md5(eval_key || ':' || train_key), 1, 4))::int / 65536.0::double as sequence_similarity from r where pool_rank <= 20),
+m as (select *, greatest(sequence_similarity, ngram_jaccard) as max_similarity from p),
+k as (select *, row_number() over (partition by eval_key order by max_similarity desc, pool_rank) as rank from m)
+select eval_key, rank::int as rank, train_key, sequence_similarity, ngram_jaccard, max_similarity, 'pending' as manual_review from k where rank <= 3""")
+def overlap_ranked(spark, d):
+    """The second stage over pools whose sequence similarity is given: a number from an MD5."""
+    return overlap.best_matches(_rated_pool(spark, d))
+
+
+def _rated_pool(spark, d) -> DataFrame:
+    digest = F.md5(F.concat_ws(":", F.col("eval_key").cast("string"), F.col("train_key").cast("string")))
+    return overlap.pool(*_overlap_sides(spark, d)).withColumn("sequence_similarity", F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65536.0)
+
+
+@query(SQL["overlap_ranked"].replace("select eval_key, rank::int", ", z as (select eval_key, rank::int", 1) + ") select * from z where rank = 1 and max_similarity >= 0.45")
+def overlap_ranked_flagged(spark, d):
+    return overlap.flagged(overlap.best_matches(_rated_pool(spark, d)))
+
+
+@query(SQL["overlap_ranked"].replace("select eval_key, rank::int", ", z as (select eval_key, rank::int", 1) + ") select count(*) filter (max_similarity >= 0.45)::bigint as flagged, count(*)::bigint as questions from z where rank = 1")
+def overlap_flagged_count(spark, d):
+    return overlap.flagged_count(overlap.best_matches(_rated_pool(spark, d)))
+
+
+@query(SQL["overlap_ranked"].replace("select eval_key, rank::int", ", z as (select eval_key, rank::int", 1) + """) select z.eval_key, z.rank, z.train_key, z.max_similarity, '' as eval_role, b.text as eval_question, lang as train_role, c.text as train_question
+from z join benchmark b on b.item_id = z.eval_key join documents c on c.doc_id = z.train_key""")
+def overlap_report_rows(spark, d):
+    """Report rows with the texts and roles of both sides."""
+    e = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
+    t = docs(spark, d).select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("role"))
+    rows = compare.overlap_report(overlap.best_matches(_rated_pool(spark, d)), e, t)
+    return rows.select("eval_key", "rank", "train_key", "max_similarity", "eval_role", "eval_question", "train_role", "train_question")
+
+
 @query()
 def overlap_top3(spark, d):
     return overlap.matches(*_overlap_sides(spark, d))
@@ -424,3 +519,184 @@ def log_resume(spark, d):
     """Keys of an append log that a finished part lacks."""
     log = table(spark, d, "events")
     return log.join(log.where("event_type = 'click'").select("event_id"), "event_id", "left_anti").select("event_id", "user_id")
+
+
+# --- files ----------------------------------------------------------------------------------
+@query("select doc_id::varchar as id, text as question, lang as role, '' as answer from documents")
+def csv_scan(spark, d):
+    """Texts with quotes and line breaks out to CSV and back; an absent value is empty."""
+    path = scratch.new_path(spark) + ".csv"
+    sinks.write_csv(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("lang").alias("role"), F.lit(None).cast("string").alias("answer")), path)
+    return files.read_source(spark, path, schemas.QUESTION).select("id", "question", "role", "answer")
+
+
+@query(SQL["sft_rows"])
+def json_array_scan(spark, d):
+    """A training file of one JSON array, written and read."""
+    path = scratch.new_path(spark) + ".json"
+    sinks.write_json_array(formats.sft_rows(_turns(spark, d)), path)
+    return files.read_source(spark, path, schemas.SFT)
+
+
+@query("select doc_id::varchar as prompt_id, 'c' || (doc_id % 3) as candidate_id, text as answer, case when doc_id % 2 = 0 then doc_id / 4.0::double end as temperature from documents")
+def jsonl_log_scan(spark, d):
+    """A log appended in two batches; nulls are written."""
+    path = scratch.new_path(spark) + ".jsonl"
+    rows = docs(spark, d).select(
+        F.col("doc_id").cast("string").alias("prompt_id"), F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")).alias("candidate_id"), F.col("text").alias("answer"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") / 4.0).alias("temperature"), (F.col("doc_id") % 2).alias("half"),
+    )
+    for half in range(2):
+        sinks.append_jsonl(rows.where(F.col("half") == half).drop("half"), path)
+    return files.read_source(spark, path, schemas.CANDIDATE).select("prompt_id", "candidate_id", "answer", "temperature")
+
+
+@query(_pairs() + f" select {_RECORD} from (select p.*, viable from p join cnt using (g))")
+def preference_log_replaced(spark, d):
+    """The canonical pair log, replaced as a whole, and read with its schema."""
+    path = scratch.new_path(spark) + ".jsonl"
+    sinks.replace_jsonl(_record_rows(spark, d).limit(1), path)
+    sinks.replace_jsonl(_record_rows(spark, d), path)
+    return files.read_jsonl(spark, path, schemas.PAIR).withColumn("prompt", F.to_json("prompt"))
+
+
+@query("select c_custkey::varchar as id, (row_number() over (order by c_custkey) - 1)::int as source_row from customer")
+def row_positions(spark, d):
+    """Rows of a file numbered in its order."""
+    path = scratch.new_path(spark) + ".csv"
+    sinks.write_csv(table(spark, d, "customer").select(F.col("c_custkey").alias("id")).orderBy("id"), path, single=True)
+    return files.with_position(files.read_csv(spark, path))
+
+
+@query("""select * from (values ('interview_preference_pairs', 'preference_pairs_llamafactory.json', '{"chosen":"chosen","prompt":"instruction","query":"input","rejected":"rejected"}'),
+('sft_train', 'sft_train.json', '{"prompt":"instruction","query":"input","response":"output"}')) r(name, file_name, columns)""")
+def registry_scan(spark, d):
+    """A registry document written, merged and read: one row an entry."""
+    path = scratch.new_path(spark) + ".json"
+    sinks.write_json_document(spark, path, formats.DPO_ENTRY)
+    compare.register(spark, path, formats.SFT_ENTRY | {"interview_preference_pairs": {}})
+    found = files.read_registry(spark, path)
+    rows = [(k, v["file_name"], dict(v["columns"])) for k, v in found.items()]
+    named = files.literal_rows(spark, rows, "name string, file_name string, columns map<string,string>")
+    return named.withColumn("columns", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("columns")))))
+
+
+@query("select unnest(['# Counts', '', '- ' || (select min(lang) from documents) || ': ' || (select count(*) from documents where lang = (select min(lang) from documents)), '', 'Checked.']) as line, unnest([1, 2, 3, 4, 5]) as place")
+def markdown_report(spark, d):
+    """A report written as Markdown; one row a line."""
+    path = scratch.new_path(spark) + ".md"
+    first = preference.counts_by(docs(spark, d).where("lang IS NOT NULL"), "lang").orderBy("lang").first()
+    sinks.write_text(spark, path, sinks.markdown("Counts", [(first[0], first[1])], ["Checked."]))
+    return files.with_position(spark.read.text(path), "place").select(F.col("value").alias("line"), (F.col("place") + 1).alias("place"))
+
+
+# --- more of candidates, evaluation and prompts ----------------------------------------------
+@query(f"select candidate_index::int as candidate_index, temperature, candidate_id from {TEMPS}")
+def temperature_rows(spark, d):
+    return candidates.temperature_table(spark, candidates.parse_temperatures("0.3, 0.5,0.7,0.9,1.1"))
+
+
+@query("select doc_id::varchar as prompt_id, 'reference' as candidate_id, 'sft_reference' as candidate_source, text as answer, null::double as temperature from documents where doc_id % 4 <> 1")
+def references_pending(spark, d):
+    """Each prompt's own answer, unless the log has it."""
+    rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("prompt_id"), F.col("text").alias("reference_answer"), "doc_id")
+    done = rows.where("doc_id % 4 = 1").select("prompt_id", F.lit("reference").alias("candidate_id"))
+    return candidates.references(rows, done).select("prompt_id", "candidate_id", "candidate_source", "answer", "temperature")
+
+
+@query(f"""select doc_id::varchar as prompt_id, 'reference' as candidate_id, 'sft_reference' as candidate_source, text as answer, null::double as temperature, null::double as top_p from documents
+union all select doc_id::varchar, candidate_id, 'sft_sample', lang || ' @' || case when temperature = 1.1 then '1.1' else temperature::varchar end, temperature, 0.9::double from documents cross join {TEMPS}""")
+def candidate_log(spark, d):
+    """References and generated samples in one log; what a side lacks is null."""
+    rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("prompt_id"), F.col("text").alias("reference_answer"), F.col("lang").alias("question"), F.col("doc_id").cast("int").alias("source_row"))
+    made = candidates.generate(candidates.pending(rows, candidates.temperature_table(spark), None, SEED))
+    return candidates.merge_logs(candidates.references(rows), made).select("prompt_id", "candidate_id", "candidate_source", "answer", "temperature", "top_p")
+
+
+def _evaluation(spark, d) -> DataFrame:
+    named = _turns(spark, d).where("question IS NOT NULL")
+    text = lambda c: c.cast("string")
+    return named.select(
+        text(F.col("conv_id")).alias("id"), F.lit("r").alias("role"), text(F.col("conv_id") % 3).alias("difficulty"), F.lit("open").alias("question_type"), "question", "answer",
+        F.array(F.lit("a"), text(F.col("conv_id"))).alias("expected_points"),
+    )
+
+
+@query(f"""with {TURNS} select conv_id::varchar as id, 'r' as role, (conv_id % 3)::varchar as difficulty, 'open' as question_type, question, '["a","' || conv_id || '"]' as expected_points_json,
+answer as base_answer, answer || ' !' as sft_answer from t where question is not null""")
+def comparison_rows(spark, d):
+    rows = evaluation.question_points(evaluation.require_fields(_evaluation(spark, d), "id", "role", "question"))
+    return evaluation.comparison_rows(rows, F.col("answer"), F.concat("answer", F.lit(" !")))
+
+
+@query(f"with {TURNS} select conv_id::varchar as id, question from t where question is not null order by conv_id limit 5")
+def question_limit(spark, d):
+    """The first questions of an evaluation file."""
+    return _evaluation(spark, d).withColumn("pos", F.col("id").cast("bigint")).orderBy("pos").limit(5).select("id", "question")
+
+
+@query(f"with {TURNS} select 'question' as field, count(*) filter (question is null)::bigint as missing from t union all select 'answer', count(*) filter (answer is null)::bigint from t")
+def missing_fields(spark, d):
+    return evaluation.missing_fields(_turns(spark, d), "question", "answer")
+
+
+@query(f"""with {TURNS}, q as (select conv_id, case when conv_id % 5 = 0 then '  ' else question end as question from t where question is not null),
+s as (select * from (values (0, 'base', 'none'), (1, 'sft', 'trained'), (2, 'rlhf', 'not_trained')) s(place, stage, adapter)),
+j as (select *, trim(question, ' ') = '' as blank from q cross join s),
+a as (select *, not blank and adapter <> 'not_trained' as to_score, case when blank then '' when adapter = 'not_trained' then '[not trained]' else stage || ': ' || question end as answer from j),
+z as (select *, case when to_score then length(answer) / 100.0::double - 1.5 end as score from a)
+select conv_id, stage, answer, to_score, score, case when score is null then 'RM unavailable' when score > 1 then 'High' when score > -1 then 'Mid' else 'Low' end as bucket from z""")
+def demo_run(spark, d):
+    """Questions through three stages: answers, scores and buckets; blanks and untrained stages have none."""
+    q = _turns(spark, d).where("question IS NOT NULL").select("conv_id", F.when(F.col("conv_id") % 5 == 0, "  ").otherwise(F.col("question")).alias("question"))
+    rows = evaluation.staged_run(q, demo.stage_table(spark))
+    out = evaluation.staged_answers(rows, F.concat("stage", F.lit(": "), "question"), F.length(F.concat("stage", F.lit(": "), "question")) / 100.0 - 1.5)
+    return out.select("conv_id", "stage", "answer", "to_score", "score", "bucket")
+
+
+def _all_turns(spark, d) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    rows = table(spark, d, "conversations").where("text IS NOT NULL AND role IS NOT NULL").groupBy("conv_id").agg(turns.alias("t"))
+    return rows.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))
+
+
+@query("select conv_id, string_agg('<|im_start|>' || role || chr(10) || text || chr(10) || '<|im_end|>' || chr(10), '' order by turn) || '<|im_start|>assistant' || chr(10) as prompt from conversations where text is not null and role is not null group by conv_id")
+def chat_template(spark, d):
+    """Whole conversations in ChatML, open for the next answer."""
+    return _all_turns(spark, d).select("conv_id", T.chat_template(F.col("messages")).alias("prompt"))
+
+
+@query("select conv_id, count(*)::int as turns, max(length(text))::int as longest from conversations where text is not null and role is not null group by conv_id")
+def json_decode(spark, d):
+    """Message lists through JSON text and back."""
+    decoded = _all_turns(spark, d).select("conv_id", F.from_json(F.to_json("messages"), schemas.MESSAGES).alias("m"))
+    return decoded.select("conv_id", F.size("m").alias("turns"), F.array_max(F.transform("m", lambda x: F.length(x["content"]))).alias("longest"))
+
+
+@query(f"""with {TURNS} select conv_id, question || chr(10) || chr(10) || answer as paragraphs,
+'<|im_start|>user' || chr(10) || question || chr(10) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || chr(10) || '<|im_end|>' || chr(10) as chat from t where answer is not null""")
+def reward_input_forms(spark, d):
+    q, a = F.col("question"), F.col("answer")
+    return _turns(spark, d).where("answer IS NOT NULL").select("conv_id", T.reward_input(q, a, "paragraphs").alias("paragraphs"), T.reward_input(q, a, "chat").alias("chat"))
+
+
+@query(f"""with {TURNS} select conv_id, '[{{"role":"system","content":"Be short.\\n\\n问题：q\\n回答：a"}},{{"role":"user","content":' || to_json('问题：' || question || chr(10) || '回答：')::varchar || '}}]' as messages from t where question is not null""")
+def shot_messages(spark, d):
+    """A completion request: instructions with worked examples, then the prompt."""
+    none = F.lit("")
+    system = T.with_shots("Be short.", [("q", "a")])
+    rows = _turns(spark, d).where("question IS NOT NULL")
+    return rows.select("conv_id", F.to_json(T.system_messages(system, T.fill_prompt(F.col("question"), none, none))).alias("messages"))
+
+
+@query("select doc_id, case when length(text) > 30 then left(text, 30) || '…' else text end as short, case when length(text) > 45 then left(text, 45) || '…' else text end as longer from documents")
+def text_previews(spark, d):
+    return docs(spark, d).select("doc_id", T.preview(F.col("text"), 30).alias("short"), T.preview(F.col("text"), 45).alias("longer"))
+
+
+@query("""with s as (select doc_id, row_number() over (partition by lang order by md5('20260807:' || doc_id::varchar), doc_id) as turn, lang, md5('20260807:' || doc_id::varchar) as o from documents),
+k as (select doc_id from s order by turn, lang nulls last, o limit 50) select doc_id, row_number() over (order by doc_id)::int as place from k""")
+def sample_in_key_order(spark, d):
+    """A sample stands in the order of its keys."""
+    rows = prompts.stratified_sample(docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", 50, SEED)
+    return files.with_position(scratch.cut(rows.coalesce(1)), "place").select("doc_id", (F.col("place") + 1).alias("place"))

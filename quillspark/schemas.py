@@ -33,6 +33,7 @@ PAIR = StructType(
 )
 #: Columns of the audit sheet, in order (fixed).
 AUDIT = "prompt_id role difficulty question_type source_type question chosen_source chosen_temperature chosen_reward chosen rejected_temperature rejected_reward rejected judge_margin".split()
+ANSWER = StructType(_strings("key answer error"))
 DPO = StructType(_strings("instruction input chosen rejected"))
 SFT = StructType(_strings("instruction input output"))
 EVALUATION = StructType([*_strings("id role difficulty question_type question"), StructField("expected_points", ArrayType(StringType()))])

@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark import schemas
 
@@ -38,10 +38,15 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON lines: blank lines skipped, a malformed one fails the job, a missing path is empty."""
+    """JSON lines: blank lines skipped, a missing path is empty; a malformed line fails the job and is named with its file."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    marked = StructType([*schema.fields, StructField("_malformed", StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_file", F.input_file_name())
+    parsed = lines.select("value", "_file", F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}).alias("r"))
+    fault = F.raise_error(F.concat(F.lit("malformed line in "), "_file", F.lit(": "), F.substring("value", 1, 200)))
+    whole = F.when(F.col("r").isNull() | F.col("r._malformed").isNotNull(), fault.cast(schema)).otherwise(F.struct(*(F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields)))
+    return parsed.select(whole.alias("r")).where("r IS NOT NULL").select("r.*")
 
 
 def read_source(spark: SparkSession, path: str, schema: StructType = schemas.SOURCE) -> DataFrame:
@@ -60,13 +65,18 @@ def read_source(spark: SparkSession, path: str, schema: StructType = schemas.SOU
 
 
 def with_position(df: DataFrame, name: str = "source_row") -> DataFrame:
-    """Number the rows of one file in file order from 0.
+    """Number the rows of a scan in file order from 0.
 
-    For single whole-file scans: Spark gives rising ids in the order read. Tables that
-    span files carry their own order column instead.
+    Rows are counted by partition, and a partition's rows start behind those of the ones before it:
+    each partition numbers its own, in order, and only the counts meet (one row a partition).
     """
     marked = df.withColumn("_id", F.monotonically_increasing_id())
-    return marked.withColumn(name, (F.row_number().over(Window.orderBy("_id")) - 1).cast("int")).drop("_id")
+    part = F.shiftright("_id", 33)
+    counts = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = marked.join(F.broadcast(counts), part == F.col("_p"))
+    return placed.withColumn(name, (F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("int")).drop("_id", "_p", "_before")
 
 
 def read_registry(spark: SparkSession, path: str) -> dict:

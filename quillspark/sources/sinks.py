@@ -8,13 +8,20 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources import scratch
+
+#: Fixed value: the byte-order mark that spreadsheet programs expect.
 BOM = "﻿"
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Header and minimal quoting; ``single`` for reports that people open: one file."""
-    out = df.coalesce(1) if single else df
-    out.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    """Header and minimal quoting; ``single`` for reports that people open: one file, with a byte-order mark."""
+    options = {"header": True, "escape": '"', "emptyValue": ""}
+    if not single:
+        df.write.mode("overwrite").options(**options).csv(path)
+        return
+    named = df.toDF(*[BOM + c if i == 0 else c for i, c in enumerate(df.columns)])
+    named.coalesce(1).write.mode("overwrite").options(**options).csv(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -43,23 +50,29 @@ def write_json_document(spark: SparkSession, path: str, value: object) -> None:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """A training file that is one JSON array, written in pieces by one stream.
+    """A training file that is one JSON array.
 
-    Rows pass through the driver partition by partition, never all at once.
+    Executors write the rows with their separators; the file system's own copy puts those
+    files under one pair of brackets. No row passes through the driver's Python.
     """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = scratch.new_path(spark)
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.option("lineSep", ",\n").text(parts)
+    to, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    source = folder.getFileSystem(conf)
+    found = sorted((x.getPath().toString(), x.getLen()) for x in source.listStatus(folder) if x.getPath().getName().startswith("part-") and x.getLen())
+    out = to.getFileSystem(conf).create(to, True)
     try:
-        first = True
-        stream.write(bytearray(b"["))
-        for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
-            stream.write(bytearray(("\n" if first else ",\n").encode() + r[0].encode()))
-            first = False
-        stream.write(bytearray(b"\n]\n"))
+        out.write(bytearray(b"[\n"))
+        for k, (name, size) in enumerate(found):
+            stream = source.open(jvm.org.apache.hadoop.fs.Path(name))
+            last = k == len(found) - 1  # its last separator stays behind
+            jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size - 2 if last else size)
+            stream.close()
+        out.write(bytearray(b"\n]\n" if found else b"]\n"))
     finally:
-        stream.close()
+        out.close()
 
 
 def markdown(title: str, items: Iterable[tuple[str, object]], notes: Iterable[str] = ()) -> str:

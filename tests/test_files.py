@@ -27,7 +27,7 @@ def test_jsonl(spark, tmp_path):
     path.write_text('{"instruction": "a"}\n\n{"instruction": "b"}\n')
     assert files.read_jsonl(spark, str(path), schemas.DPO).count() == 2
     path.write_text("{bad\n")
-    with pytest.raises(Exception):  # noqa: B017
+    with pytest.raises(Exception, match=r"malformed line in .*x.jsonl: \{bad"):
         files.read_jsonl(spark, str(path), schemas.DPO).collect()
     with pytest.raises(ValueError):
         files.read_source(spark, "x.txt")
@@ -126,3 +126,66 @@ def test_log_stream_resumes(spark, tmp_path):
         stream = logs.follow(spark, log, spark.createDataFrame([], schema).schema)
         logs.append_new(stream, out, ["k"], lambda df: df, mark).awaitTermination(60)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_reports_start_with_a_mark_and_large_arrays_keep_every_row(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([(1, "é")], "a int, b string"), str(tmp_path / "r.csv"), single=True)
+    part = next((tmp_path / "r.csv").glob("part-*"))
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfa,b\n")
+    assert files.read_csv(spark, str(tmp_path / "r.csv")).columns == ["a", "b"]
+    sinks.write_json_array(spark.range(1000).repartition(5), str(tmp_path / "n.json"))
+    assert sorted(r["id"] for r in json.loads((tmp_path / "n.json").read_text())) == list(range(1000))
+    sinks.write_json_array(spark.range(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    rows = files.with_position(spark.range(500).repartitionByRange(4, "id").sortWithinPartitions("id"))
+    assert all(r["id"] == r.source_row for r in rows.collect())
+
+
+def test_fill_keeps_what_was_answered_when_it_stops(spark, tmp_path):
+    names = [f.name for f in schemas.QUESTION.fields]
+    lines = [",".join(names)] + [",".join({"id": str(i), "question": f"q{i}"}.get(n, "") for n in names) for i in range(3)]
+    (tmp_path / "s.csv").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "f.csv")
+
+    def client():
+        def ask(prompt):
+            if "q1" in prompt:
+                raise RuntimeError("refused")
+            return "n" * 55
+
+        return ask
+
+    real = compare.candidates.complete
+    compare.candidates.complete = lambda rows, c: real(rows, c, pause=0)
+    try:
+        first = compare.fill(spark, str(tmp_path / "s.csv"), out, out, client)
+        assert [r.status for r in first.orderBy("id").collect()] == ["generated", "pending", "generated"]
+        again = compare.fill(spark, str(tmp_path / "s.csv"), out, out, lambda: lambda p: "m" * 60)
+    finally:
+        compare.candidates.complete = real
+    assert [r.answer[0] for r in again.orderBy("id").collect()] == ["n", "m", "n"]
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from quillspark.__main__ import main, parser
+
+    (tmp_path / "t.csv").write_text("id,question,answer,role\n0,what is tide,a,r\n1,what is diet,b,r\n")
+    (tmp_path / "e.json").write_text(json.dumps([{"id": "0", "role": "r", "difficulty": "d", "question_type": "t", "question": "what is tide", "expected_points": []}]))
+    row = main(["overlap", "--eval_file", str(tmp_path / "e.json"), "--train_file", str(tmp_path / "t.csv"), "--out", str(tmp_path / "o.csv")], spark)
+    assert (row.flagged, row.questions) == (1, 1)
+    report = files.read_csv(spark, str(tmp_path / "o.csv"))
+    assert {"eval_role", "train_role", "eval_question"} <= set(report.columns)
+    main(["convert", "--input", str(tmp_path / "t.csv"), "--out_dir", str(tmp_path / "sft")], spark)
+    assert json.loads((tmp_path / "sft/dataset_info.json").read_text())
+    assert main(["compare", "--eval_file", str(tmp_path / "e.json"), "--output_dir", str(tmp_path / "c")], spark)["questions"] == 1
+    with pytest.raises(ValueError, match="overwrite"):
+        main(["compare", "--eval_file", str(tmp_path / "e.json"), "--output_dir", str(tmp_path / "c")], spark)
+    main(["verify"], spark)
+    main(["demo", "--question", "hello", "--question", " "], spark)
+    assert "[not trained]" in capsys.readouterr().out
+    args = parser().parse_args(["pairs", "--no-sample_chosen_fallback", "--temperatures", "0.3,0.5"])
+    assert (args.sample_chosen_fallback, args.limit, args.temperatures) == (False, 200, "0.3,0.5")
+    with pytest.raises(ValueError, match="rm_input_format"):
+        options.CompareOptions(rm_model="m:f")
+    with pytest.raises(ValueError, match="key"):
+        compare.candidates.chat_client("qwen")
