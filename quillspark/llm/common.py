@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,64 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.scratch import cut, drop
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; only Spark's readers touch the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    ``spark.checkpoint.dir`` names it; only a session without that setting (a local
-    test) gets a temporary folder of its own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="quillspark-")
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: short lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _scratch.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`cut` that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _scratch[:] = [x for x in _scratch if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _scratch:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended already
-            return
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column as one array, and the offsets of its rows (nulls: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -144,6 +144,42 @@ def test_mixing_meets_targets_and_reruns_agree(spark):
     assert plan["zero"][1] == 0
 
 
+def poured(sizes, weights=(5, 2, 1), most=3):
+    """Targets by pouring: full sources stop, the rest is shared again."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, open_, left = dict.fromkeys(names, 0.0), set(names), float(sum(sizes.values()))
+    while left > 1e-9 and open_:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * share >= most * sizes[s]}
+        if not full:
+            return target | {s: weight[s] * share for s in open_}
+        for s in full:
+            target[s] = float(most * sizes[s])
+        open_ -= full
+        left = sum(sizes.values()) - sum(target[s] for s in names if s not in open_)
+    return target
+
+
+def test_mixing_targets_equal_pouring_and_repeats_are_dealt_out(spark):
+    rng = random.Random(12)
+    for turn in range(3):
+        rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "c", "d", "e", None][: 3 + turn])) for i in range(rng.randint(30, 400))]
+        docs = frame(spark, rows + [(7, "same words here", "b")] * 25 + [(None, "no key", "a"), (None, "no key", "a"), (None, "other", None)])
+        got = mixing.mix(docs.withColumn("size", F.lit("x")).withColumn("copies", F.lit("y"))).collect()
+        sizes = {}
+        for r in got:
+            sizes[r.source] = sizes.get(r.source, 0) + r.size
+        want = poured(sizes)
+        assert len(got) == len(rows) + 28
+        assert all(r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] for r in got)
+        same = [r.copies for r in got if r.doc_id == 7 and r.text == "same words here"]
+        assert len(same) == 25 and max(same) - min(same) <= 1
+        assert abs(sum(same) - 25 * want["b"] / sizes["b"]) <= 1
+        taken = {s: sum(r.size * r.copies for r in got if r.source == s) for s in sizes}
+        assert all(abs(taken[s] - want[s]) <= max(45, 0.05 * want[s]) for s in sizes)
+
+
 def test_base_spans_and_hashes(spark):
     rng = random.Random(3)
     ab = "1234567890 ..--++@@ab()_%é😀\n5"
