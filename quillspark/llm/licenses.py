@@ -1,15 +1,19 @@
 """License scans: phrases by place, and an exact containment join with license templates.
 
-DataFrame functions only. A text block is a line; its tokens are a set. Template and block
-tokens follow one global order, from the corpus-wide rarest on. A block can contain the
-share :data:`CONTAINED` of a template only if it holds one of the template's first
-``n - need + 1`` tokens (prefix filter), has at least ``need`` tokens (length filter) and
-enough template tokens lie after the first one met (positional filter); what passes is
-counted exactly. The templates are a fixed table, so the index over their prefixes is a
-literal and the join runs inside each row: no shuffle, whatever the source's share.
+DataFrame functions only. A text block is a window of :data:`BLOCK_WORDS` words, and one
+begins at every :data:`STEP` words of the text: line breaks do not matter, and a statement of up to
+``BLOCK_WORDS - STEP + 1`` words stands whole in some block. Blocks and templates are sets of
+tokens in one global order, from the corpus-wide rarest on; of a block only template
+tokens count. A block can contain the share :data:`CONTAINED` of a template only if it holds one of
+the template's first ``n - need + 1`` tokens (prefix filter: blocks without any are
+never made), holds at least ``need`` template tokens (length filter), and at least ``need`` of them
+from the first one met on (positional filter: earlier ones are not the template's). What passes is counted
+exactly. The templates are a fixed table, so the index over their prefixes is a literal and
+the join runs inside each row: no shuffle, whatever the source's share.
 
 A null text is empty: no words, no labels, score 0. Repeated rows are scanned each. The
-order only decides how much is verified, never the result.
+order only decides how much is verified, never the result. Input columns named as one of
+:data:`OWN` are replaced.
 """
 
 from __future__ import annotations
@@ -26,26 +30,42 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Statements that licenses ask for; a label may have several.
+#: Sentences of public licenses and the statements they ask for, in words; a label may have several.
 TEMPLATES = [
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("all-rights-reserved", "all rights reserved"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-nc", "cc by nc"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "cc by sa"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "released under the mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 #: Part of a template's distinct tokens that a block must hold.
 CONTAINED = 0.8
+#: Words of a block, and from one block's begin to the next.
+BLOCK_WORDS, STEP = 80, 40
+#: Columns that the result adds.
+OWN = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 #: Not a word: ASCII other than letters and digits (after lower-casing A-Z).
 NOT_WORD, IS_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,7 +109,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     count = frequencies(docs, templates, text)
     order = {t: i for i, t in enumerate(sorted(count, key=lambda t: (count[t], t)))}
     sets = [(label, sorted(set(s.split()), key=order.__getitem__)) for label, s in templates]
-    index: dict[str, list[tuple[int, int]]] = {}
+    index: dict[str, list[tuple[int, int]]] = {}  # token: templates that it may be the first one met of
     for k, (_, tokens) in enumerate(sets):
         for i, t in enumerate(tokens[: len(tokens) - need(len(tokens), share) + 1]):
             index.setdefault(t, []).append((k, i))
@@ -97,36 +117,44 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     first = sorted({*index, *(p.split()[0] for p in PHRASES)})
     edge = r"0-9A-Za-z\x{80}-\x{10FFFF}"
     wanted = rf"(?i)(?<![{edge}])(?:{'|'.join(first)})(?![{edge}])"
-    value = F.coalesce(F.col(text), F.lit(""))
+    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hit = F.when(value.rlike(wanted), value)
 
-    def struct(k: int, i: int) -> Column:
-        n = len(sets[k][1])
-        return F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(need(n, share)).alias("need"), F.lit(n - i).alias("after"))
+    def struct(k: int) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(need(len(sets[k][1]), share)).alias("need"))
 
-    entries = [x for t in sorted(index) for x in (F.lit(t), F.array(*(struct(k, i) for k, i in index[t])))]
-    lookup = F.create_map(*entries)
+    lookup = F.create_map(*(x for t in sorted(index) for x in (F.lit(t), F.array(*(struct(k) for k, _ in index[t])))))
     all_sets = F.array(*(F.array(*map(F.lit, tokens)) for _, tokens in sets))
+    ordered = F.array(*map(F.lit, order))  # every template token, rarest first
     prefix = F.array(*map(F.lit, sorted(index)))
+    sizes = F.array(*(F.lit(len(tokens)) for _, tokens in sets))
 
-    def matches(line: Column) -> Column:
-        """``(template, containment)`` of one line's token set."""
-        near = F.flatten(F.transform(F.array_intersect(line, prefix), lambda t: F.element_at(lookup, t)))
-        # length filter; positional filter: the tokens from the one met on must suffice, for the rarest one met
-        near = F.filter(near, lambda c: (F.size(line) >= c["need"]) & (c["after"] >= c["need"]))
-        ids = F.array_distinct(F.transform(near, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), c["need"].alias("need"))))
-        found = F.transform(ids, lambda c: F.struct(c["k"].alias("k"), F.size(F.array_intersect(line, F.element_at(all_sets, c["k"] + 1))).alias("m"), c["n"].alias("n"), c["need"].alias("need")))
-        found = F.filter(found, lambda c: c["m"] >= c["need"])
-        return F.transform(found, lambda c: F.struct(c["k"].alias("k"), (c["m"] / c["n"]).alias("c")))
-
-    lines = F.transform(F.split("_hit", "\n"), lambda line: F.array_distinct(_words(line)))
+    def matches(ws: Column, block: Column) -> Column:
+        """``(template, containment)`` of one block."""
+        held = F.array_intersect(ordered, F.slice(ws, block * STEP + 1, F.lit(BLOCK_WORDS)))
+
+        def near(t: Column, j: Column) -> Column:
+            # length and positional filter: from the one met on, enough template tokens must follow in the block
+            return F.filter(F.element_at(lookup, t), lambda c: F.size(held) - j >= c["need"])
+
+        met = F.filter(F.transform(held, lambda t, j: F.when(F.array_contains(prefix, t), near(t, j))), lambda x: x.isNotNull())
+        found = F.transform(F.array_distinct(F.flatten(met)), lambda c: F.struct(c["k"].alias("k"), F.size(F.array_intersect(held, F.element_at(all_sets, c["k"] + 1))).alias("m"), c["need"].alias("need")))
+        return F.transform(F.filter(found, lambda c: c["m"] >= c["need"]), lambda c: F.struct(c["k"].alias("k"), (c["m"] / F.element_at(sizes, c["k"] + 1)).alias("c")))
+
+    def blocks(ws: Column) -> Column:
+        """Blocks that hold a prefix token."""
+        at = F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(prefix, w), F.floor(i / STEP).cast("int"))), lambda x: x.isNotNull())
+        before = F.filter(F.transform(at, lambda b: b - 1), lambda b: b >= 0)
+        return F.array_union(at, before)
+
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OWN])
     out = docs.withColumn("_hit", hit).withColumn("n_words", F.regexp_count(value, F.lit(IS_WORD)).cast("long"))
     out = out.withColumn("_ws", F.when(F.col("_hit").isNotNull(), _words(F.col("_hit"))))
     starts = [_places(F.col("_ws"), phrase.split(), label) for phrase, label in PHRASES.items()]
     none = F.array().cast("array<struct<i:bigint,label:string>>")
     out = out.withColumn("_base", F.coalesce(F.flatten(F.array(*starts)), none))
     empty = F.array().cast("array<struct<k:int,c:double>>")
-    out = out.withColumn("_found", F.coalesce(F.when(F.col("_hit").isNotNull(), F.flatten(F.transform(lines, matches))), empty))
+    out = out.withColumn("_found", F.coalesce(F.flatten(F.transform(blocks(F.col("_ws")), lambda b: matches(F.col("_ws"), b))), empty))
     label_of = F.array(*(F.lit(label) for label, _ in sets))
     base = F.array_sort(F.array_distinct(F.col("_base.label")))
     more = F.transform("_found", lambda c: F.element_at(label_of, c["k"] + 1))
@@ -148,7 +176,7 @@ with p(ph, label) as (values {phrases}), tp(k, label, ts, need) as (values {valu
 d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
 w as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from d),
 b as (select doc_id, label, u.i - 1 as i from w, p, unnest(range(1, len(ws) + 1)) u(i) where ws[u.i : u.i + len(ph) - 1] = ph),
-ln as (select doc_id, regexp_extract_all(l.line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as lw from d, unnest(string_split(t, chr(10))) l(line)),
+ln as (select doc_id, ws[u.i + 1 : u.i + {BLOCK_WORDS}] as lw from w, unnest(range(0, len(ws), {STEP})) u(i)),
 m as (select doc_id, label, len(list_intersect(list_distinct(lw), ts)) / len(ts)::double as c from ln, tp where len(list_intersect(list_distinct(lw), ts)) >= need),
 ba as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by doc_id),
 la as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from b union select doc_id, label from m) group by doc_id),

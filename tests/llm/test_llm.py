@@ -272,7 +272,40 @@ def test_licenses(spark):
     assert (got[1].base_labels, got[1].labels, got[1].score) == ("cc-by", "cc-by,cc-by-nc", 1.0)
     assert (got[2].n_words, got[2].labels, got[2].first_word, got[2].score) == (0, "", None, 0.0)
     assert (got[3].n_base, got[3].first_word, got[3].last_word) == (3, 1, 7)
-    assert got[4].labels == ""
+    assert got[4].labels == "all-rights-reserved"  # a line break does not part a statement
+
+
+def test_license_blocks_equal_brute_force_and_wrapped_statements_are_found(spark):
+    rng = random.Random(21)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    rows = []
+    for i in range(150):
+        parts = [" ".join(rng.choice(words + ["filler"] * 60) for _ in range(rng.randint(0, 130)))]
+        for _ in range(rng.randint(0, 2)):
+            t = rng.choice(licenses.TEMPLATES)[1].split()
+            t = [w for w in t if rng.random() > rng.choice([0, 0.1, 0.3])]
+            parts.insert(rng.randint(0, len(parts)), rng.choice([" ", "\n", "\n * "]).join(t))
+        rows.append((i, rng.choice([" ", "\n\n"]).join(parts)))
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining\n# a copy of this software and associated documentation\n# files (the Software)"
+    rows += [(900, mit), (901, None), (902, "z " * 30000 + mit), (900, mit)]
+    docs = frame(spark, rows).withColumn("labels", F.lit(1)).withColumn("score", F.lit("x"))
+    got = licenses.scan(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.labels for r in got if r.doc_id in (900, 902)} == {"mit"}
+    text = dict(rows)
+    for r in got:
+        ws = __import__("re").findall(r"[a-z0-9]+", (text[r.doc_id] or "").lower())
+        best, found = 0.0, set()
+        for i in range(0, len(ws), licenses.STEP):
+            block = set(ws[i : i + licenses.BLOCK_WORDS])
+            for label, t in licenses.TEMPLATES:
+                tokens = set(t.split())
+                if 10 * len(block & tokens) >= 8 * len(tokens):
+                    found.add(label)
+                    best = max(best, len(block & tokens) / len(tokens))
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(ws)} "}
+        assert r.labels == ",".join(sorted(found | base))
+        assert r.score == (1.0 if base else best)
 
 
 def test_substring_removal(spark):
