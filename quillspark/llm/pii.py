@@ -1,17 +1,19 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction around them.
 
 DataFrame functions only. The base patterns give spans and also the seeds: a value that a
-base pattern finds is a known instance of its kind. The corpus's identifier-like tokens
+base pattern finds is a known instance of its kind; a value of a shape in :data:`SHAPES` seeds a
+kind that has no base pattern. The corpus's identifier-like tokens
 (with a digit or an ``@``), each with its left context (the word before it and the
 separator between), form a bipartite graph of lexical patterns and instances. Rounds go
 over that graph: a pattern's confidence is the mean confidence of the instances it extracts
 with a support factor, an instance's the best pattern confidence (seeds stay at 1).
-Patterns that reach :data:`CONFIDENT` with enough different instances and
-documents are promoted, all of them, and what they extract outside base spans is a span of their kind.
+Patterns that reach :data:`CONFIDENT` with enough different instances, in enough different
+texts, are promoted, all of them, and what they extract outside base spans is a span of their
+kind. A shape alone makes no span: only a promoted context does.
 
 Scores and counts cover all rows. A null text is empty and has no spans. Repeated rows are
 scanned each, and count once for the support of a pattern (supports are of distinct
-texts). Texts of any length are scanned whole: every pattern starts a run at its first
+texts, counted exactly). Texts of any length are scanned whole: every pattern starts a run at its first
 character only and takes it possessively, so the scan stays linear.
 """
 
@@ -23,6 +25,12 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only contexts find, after the base ones, and the shape of values that seed them.
+MORE = ("secret",)
+SHAPES = {"secret": r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}$"}
+#: Words before a value of such a shape that say it is no secret.
+PUBLIC = ("blob", "checksum", "commit", "digest", "etag", "fingerprint", "hash", "md", "md5", "rev", "revision", "sha", "sha1", "sha256", "sha512", "uuid")
+ALL_KINDS = KINDS + MORE
 _LOCAL = "A-Za-z0-9._%+-"
 #: Fixed patterns, as Java regexes that skip hopeless starts: within a run only its first
 #: character, or the end of the last match, can start one.
@@ -128,37 +136,41 @@ def _sized(patterns: DataFrame) -> DataFrame:
 
 
 def contexts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(w, k)``: promoted left contexts and the place of their kind in :data:`KINDS`.
+    """``(w, k)``: promoted left contexts and the place of their kind in :data:`ALL_KINDS`.
 
     Edges are aggregated by (context, value) before any shuffle; every round is a
     group by value and a group by context over that table. A context has one kind.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(t.alias("_t")).where(F.col("_t").rlike("[0-9@]"))
-    rows = rows.select(_base(F.col("_t")).alias("_b"), F.explode(_tokens(F.col("_t"))).alias("x"), F.xxhash64("_t").alias("_d"))
+    rows = rows.select(_base(F.col("_t")).alias("_b"), F.explode(_tokens(F.col("_t"))).alias("x"), F.xxhash64("_t").alias("d"))
     over = F.filter("_b", lambda b: (b["s"] < F.col("x.e")) & (F.col("x.s") < b["e"]))
-    edges = rows.select(F.col("x.w").alias("w"), F.col("x.v").alias("v"), F.get(over, 0)["k"].alias("k"), "_d")
-    edges = cut(edges.groupBy("w", "v").agg(F.max("k").alias("k"), F.approx_count_distinct("_d").alias("d")))
-    n_kinds = len(KINDS)
-    known = edges.groupBy("v").agg(F.max("k").alias("k")).where("k is not null").select("v", "k", F.lit(1.0).alias("c"))
-    patterns = None
+    shape = F.coalesce(*(F.when(F.col("x.v").rlike(SHAPES[kind]) & ~F.regexp_extract("x.w", "^[a-z_]+", 0).isin(*PUBLIC), k) for k, kind in enumerate(MORE, len(KINDS))))
+    seen = rows.select(F.col("x.w").alias("w"), F.col("x.v").alias("v"), F.coalesce(F.get(over, 0)["k"], shape).alias("k"), "d")
+    seen = cut(seen.groupBy("w", "v", "d").agg(F.max("k").alias("k")))
+    edges = cut(seen.groupBy("w", "v").agg(F.max("k").alias("k")))
+    texts = seen.select("w", "d").distinct().groupBy("w").agg(F.count("*").alias("d"))
+    wide = cut(edges.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).join(texts.where(F.col("d") >= DOCUMENTS), "w"))
+    n_kinds = len(ALL_KINDS)
+    seeds = cut(edges.where("k IS NOT NULL").groupBy("v").agg(F.max("k").alias("k")).withColumn("c", F.lit(1.0)))
+    known, patterns = seeds, None
     for turn in range(ROUNDS):
-        hits = edges.drop("k").join(known, "v", "left")
-        shares = [F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0.0)).alias(f"c{k}") for k in range(n_kinds)]
-        by = hits.groupBy("w").agg(F.count("*").alias("n"), F.sum("d").alias("d"), *shares)
-        by = by.where((F.col("n") >= SUPPORT) & (F.col("d") >= DOCUMENTS))
-        scored = by.select("w", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"c{k}") / F.col("n") * F.col("n") / (F.col("n") + 1)).alias("c")) for k in range(n_kinds)))).alias("x"))
-        scored = scored.select("w", "x.k", "x.c").where(F.col("c") >= CONFIDENT)
-        best = cut(scored)
+        hits = edges.select("w", "v").join(known, "v")
+        shares = hits.groupBy("w", "k").agg(F.sum("c").alias("c"))
+        scored = shares.join(wide, "w").select("w", "k", (F.col("c") / (F.col("n") + 1)).alias("c"))
+        best = cut(scored.where(F.col("c") >= CONFIDENT))
         if patterns is not None:
             drop(patterns)
         patterns = best
         if turn < ROUNDS - 1:
             # what promoted contexts extract becomes known, with their confidence
             more = edges.select("w", "v").join(_sized(patterns), "w").groupBy("v").agg(F.max_by("k", "c").alias("k"), F.max("c").alias("c"))
-            seeds = edges.groupBy("v").agg(F.max("k").alias("k")).where("k is not null").select("v", "k", F.lit(1.0).alias("c"))
-            known = seeds.union(more.join(seeds, "v", "left_anti"))
-    drop(edges)
+            grown = cut(seeds.union(more.join(seeds, "v", "left_anti").select("v", "k", "c")))
+            if known is not seeds:
+                drop(known)
+            known = grown
+    for old in (seen, edges, wide, seeds, known):
+        drop(old)
     return patterns.select("w", "k")
 
 
@@ -167,44 +179,48 @@ def learn(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r.w: r.k for r in contexts(docs, text).toLocalIterator()}
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``: arrays of (s, k, e), by start, then kind."""
+def find(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns and their names: base spans and all spans, arrays of (s, k, e), by start, then kind."""
+    base_name, spans_name = (next(x for x in (f"{'_' * i}{name}" for i in range(1, 99)) if x not in docs.columns) for name in ("base", "spans"))
     patterns = contexts(docs, text)
     n = patterns.count()
-    t = F.coalesce(F.col(text), F.lit(""))
-    some = F.when(t.rlike("[0-9@]"), _base(t)).otherwise(F.array().cast(_SPAN))
-    out = docs.withColumn("_base", some)
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base = F.col(base_name)
+    out = docs.withColumn(base_name, F.when(t.rlike("[0-9@]"), _base(t)).otherwise(F.array().cast(_SPAN)))
     if not n:
-        return out.withColumn("_spans", F.col("_base"))
+        return out.withColumn(spans_name, base), base_name, spans_name
     if n > INLINE:
         # by text, as spans depend on nothing else: two hashes name it
         name = [F.xxhash64(F.lit(i), t).alias(f"_t{i}") for i in range(2)]
         tokens = docs.where(t.rlike("[0-9@]")).select(*name, F.explode(_tokens(t)).alias("x")).select("_t0", "_t1", F.col("x.w").alias("w"), "x.s", "x.e")
         met = tokens.join(_sized(patterns), "w").groupBy("_t0", "_t1").agg(F.collect_set(F.struct("s", F.col("k").cast("int").alias("k"), "e")).alias("_more"))
-        out = out.withColumns({f"_t{i}": c for i, c in enumerate(name)}).join(met, ["_t0", "_t1"], "left")
-        extra = F.filter(F.coalesce("_more", F.array().cast(_SPAN)), lambda x: ~_meet(F.col("_base"), x))
-        return out.withColumn("_spans", F.array_sort(F.concat("_base", extra))).drop("_t0", "_t1", "_more")
+        whole = F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("_row")
+        out = out.select(whole, *name).join(met, ["_t0", "_t1"], "left").select("_row.*", "_more")
+        extra = F.filter(F.coalesce("_more", F.array().cast(_SPAN)), lambda x: ~_meet(base, x))
+        spans = F.array_sort(F.concat(base, extra))
+        kept = [F.col(f"`{c}`") for c in docs.columns]
+        return out.select(*kept, base, spans.alias(spans_name)), base_name, spans_name
     pairs = [(r.w, r.k) for r in patterns.orderBy("w").collect()]
     kind_of = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
-    extra = F.filter(_tokens(t), lambda x: F.array_contains(F.map_keys(kind_of), x["w"]) & ~_meet(F.col("_base"), x))
+    extra = F.filter(_tokens(t), lambda x: F.array_contains(F.map_keys(kind_of), x["w"]) & ~_meet(base, x))
     extra = F.transform(extra, lambda x: F.struct(x["s"].alias("s"), F.element_at(kind_of, x["w"]).alias("k"), x["e"].alias("e")))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", extra)))
+    return out.withColumn(spans_name, F.array_sort(F.concat(base, extra))), base_name, spans_name
 
 
 def _written(spans: str) -> Column:
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, ALL_KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _count(k: int) -> Column:
-    return F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
+def _count(spans: str, k: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found = find(docs.select(key, text), text)
-    counts = [_count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select(key, *counts, F.sha2(_written("_base"), 256).alias("base_sha256"), _written("_spans").alias("spans"))
+    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans."""
+    found, base, spans = find(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
+    counts = [_count(base, k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select(F.col("key").alias(key), *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -212,9 +228,9 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans that overlap are replaced together, under the first one's kind.
     """
-    found = find(docs, text)
-    kinds = F.array(*map(F.lit, KINDS))
-    value = F.col(text)
+    found, _, spans = find(docs, text)
+    kinds = F.array(*map(F.lit, ALL_KINDS))
+    value = F.col(f"`{text}`")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -225,5 +241,5 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     def whole(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(value, (acc["at"] + 1).cast("int"), F.length(value)))
 
-    masked = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, whole)).otherwise(value)
-    return found.withColumn(text, masked).select(*docs.columns)
+    masked = F.when(F.size(spans) > 0, F.aggregate(spans, start, step, whole)).otherwise(value)
+    return found.withColumn(text, masked).select(*[F.col(f"`{c}`") for c in docs.columns])

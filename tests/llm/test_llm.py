@@ -201,6 +201,84 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert {r.doc_id: r.text for r in pii.mask(docs).collect()}[30] == "write to contact: <email> today"
 
 
+def test_one_text_supports_no_context(spark):
+    docs = frame(spark, [(i, "write to " + " contact: u{}@mail.example and".format(i) * 1) for i in range(4)] + [(9, " and ".join(f"note: v{i}@mail.example" for i in range(30)))] * 3)
+    assert pii.learn(docs) == {}
+
+
+def plain_method(rows):
+    """The whole method over (id, text) rows: spans of each."""
+    import regex
+
+    token, tail = regex.compile(pii.TOKEN), regex.compile(r"[.!?:*#%$&|]+$")
+    base = {i: brute.base_spans(t) for i, t in rows}
+    tokens = {}
+    for i, t in rows:
+        out = []
+        for m in token.finditer(t or ""):
+            if m.group(3) is None:
+                continue
+            v = tail.sub("", m.group(3))
+            if len(v) >= 6:
+                out.append((m.group(1).lower() + regex.sub(r"[ \t]+", " ", m.group(2)), v, m.start(3), m.start(3) + len(v)))
+        tokens[i] = out
+    values, texts, seeds = {}, {}, {}
+    for i, t in rows:
+        for w, v, s, e in tokens[i]:
+            values.setdefault(w, set()).add(v)
+            texts.setdefault(w, set()).add(t)
+            k = next((k for a, k, b in base[i] if a < e and s < b), None)
+            if k is None and regex.search(pii.SHAPES["secret"], v) and regex.match("[a-z_]*", w).group() not in pii.PUBLIC:
+                k = 4
+            if k is not None:
+                seeds[v] = max(k, seeds.get(v, -1))
+    known, patterns = {v: (k, 1.0) for v, k in seeds.items()}, {}
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for w, vs in values.items():
+            if len(vs) >= pii.SUPPORT and len(texts[w]) >= pii.DOCUMENTS:
+                for k in range(5):
+                    c = sum(known[v][1] for v in vs if v in known and known[v][0] == k) / (len(vs) + 1)
+                    if c >= pii.CONFIDENT:
+                        patterns[w] = (k, c)
+        for w, (k, c) in patterns.items():
+            for v in values[w]:
+                if v not in seeds and c > known.get(v, (0, 0))[1]:
+                    known[v] = (k, c)
+    out = {}
+    for i, _ in rows:
+        more = [(s, patterns[w][0], e) for w, _, s, e in tokens[i] if w in patterns and not any(a < e and s < b for a, _, b in base[i])]
+        out[i] = ",".join(f"{pii.ALL_KINDS[k]}:{s}:{e}" for s, k, e in sorted(base[i] + more))
+    return out, set(patterns)
+
+
+def test_spans_equal_the_whole_method_in_plain_python(spark):
+    rng = random.Random(31)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    made = {
+        "email": lambda: f"u{rng.randrange(999)}@mail.example", "ip": lambda: f"10.0.{rng.randrange(256)}.{rng.randrange(256)}",
+        "secret": lambda: hexes(40), "odd": lambda: f"{rng.choice('kq')}{rng.randrange(10**6, 10**7)}.x", "word": lambda: rng.choice(["alpha", "beta7", "gamma"]),
+    }
+    lead = {"token = \"": "secret", "mail: ": "email", "host ": "ip", "see ": "word", "commit ": "secret", "id=": "odd"}
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            w, kind = rng.choice(list(lead.items()))
+            if rng.random() < 0.15:
+                kind = rng.choice(list(made))
+            parts.append(f"{w}{made[kind]()}{chr(34) if w.endswith(chr(34)) else ''}{rng.choice([' ', '. ', chr(10), ' é😀 '])}")
+        rows.append((i, "".join(parts)))
+    rows += [(900, None), (901, "")]
+    want, patterns = plain_method(rows)
+    assert 'token = "' in patterns and "commit " not in patterns
+    docs = frame(spark, rows).withColumn("_base", F.lit(1)).withColumn("_spans", F.lit("kept"))
+    assert {r.doc_id: r.spans for r in pii.report(docs).collect()} == want
+    masked = pii.mask(docs).collect()
+    assert all(r._spans == "kept" and r._base == 1 for r in masked)
+    assert any("token = \"<secret>\"" in (r.text or "") for r in masked)
+
+
 @pytest.mark.parametrize("inline", [True, False])
 def test_every_confident_context_is_promoted(spark, monkeypatch, inline):
     monkeypatch.setattr(pii, "INLINE", 10**6 if inline else 0)
