@@ -9,12 +9,13 @@ Text without a known stop word is not bad for that; on a page whose longer texts
 few on the whole (another language) length and links decide.
 
 A null or empty page has the empty text. Markup that never closes, repeated rows and very
-long pages need nothing special: one pass over the tags, memory as one page.
+long pages need nothing special: one pass over the tags, linear whatever is broken; memory as one page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -57,7 +58,9 @@ FURNITURE = frozenset(
 MOST_LINKS, FEW_LINKS = 0.5, 0.2
 SHORT, LONG, LOW_STOP, HIGH_STOP = 70, 200, 0.12, 0.25
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
+_tag_name = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_quote_or_end = re.compile("[>\"']")
+_raw_end = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _marks = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _hidden = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _name_parts = re.compile(r"[^a-z]+")
@@ -77,11 +80,82 @@ def _furniture(attributes: str) -> bool:
     return False
 
 
+class _Tags:
+    """The tags of a page in order; each place is looked at a bounded number of times."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.next = {">": -1}  # where it was last found
+        self.dead: set[int] = set()  # places behind a quoted value from which no tag ends
+
+    def find(self, mark: str, at: int) -> int:
+        """The first ``mark`` from ``at`` on, or the page's length; asked with rising places it never goes over one twice."""
+        if self.next[mark] < at:
+            found = self.html.find(mark, at)
+            self.next[mark] = len(self.html) if found < 0 else found
+        return self.next[mark]
+
+    def end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose attributes begin at ``at``; -1 if none follows at all.
+
+        A ``>`` in quotes ends none, unless the quotes swallow every one up to the page's end.
+        """
+        html, seen = self.html, []
+        first = self.find(">", at)
+        if first == len(html):
+            return -1
+        while True:
+            m = _quote_or_end.search(html, at)
+            if not m:
+                break
+            if m.group() == ">":
+                return m.start()
+            at = html.find(m.group(), m.end()) + 1
+            if not at or at in self.dead:
+                break
+            seen.append(at)
+        self.dead.update(seen)
+        return first
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """``(start, end, name, closing, attributes)``; comments and declarations have no name."""
+        html, at = self.html, 0
+        n = len(html)
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return
+            if html.startswith(("<!", "<?"), start):
+                if html.startswith("<!--", start):
+                    end = html.find("-->", start + 4)
+                    at = n if end < 0 else end + 3
+                elif html.startswith("<![CDATA[", start):
+                    end = html.find("]]>", start + 9)
+                    at = n if end < 0 else end + 3
+                elif (end := self.find(">", start)) < n:
+                    at = end + 1
+                else:
+                    at = start + 1
+                    continue
+                yield start, at, "", False, ""
+                continue
+            m = _tag_name.match(html, start)
+            end = self.end(m.end()) if m else -1
+            if end < 0:
+                at = start + 1  # a bare sign
+                continue
+            at = end + 1
+            skip = yield start, at, m.group(2).lower(), bool(m.group(1)), html[m.end() : end]
+            if skip is not None:
+                at = skip
+
+
 def blocks(html: str) -> Iterator[tuple[str, int, bool, int]]:
     """``(text, characters in links, in furniture, article number or 0)`` for each block."""
     parts: list[str] = []
     links = 0
     open_: list[tuple[str, bool, int]] = []  # name, furniture from here, article number before
+    depth: Counter[str] = Counter()
     bad, article, articles, in_link = 0, 0, 0, 0
     at, n = 0, len(html)
 
@@ -90,55 +164,57 @@ def blocks(html: str) -> Iterator[tuple[str, int, bool, int]]:
             parts.append(raw)
         return len(raw.strip()) if in_link else 0
 
-    while at < n:
-        m = _token.search(html, at)
-        if not m:
-            links += add(html[at:])
-            break
-        links += add(html[at : m.start()])
-        at = m.end()
-        if m.group().startswith("<![CDATA["):
-            continue
-        name = (m.group(2) or m.group(5) or "").lower()
-        if not name:
-            continue
-        closing, attributes = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
+    def close() -> str:
+        nonlocal bad, article
+        top, was_bad, before = open_.pop()
+        depth[top] -= 1
+        bad -= was_bad
+        article = before if top in ARTICLE else article
+        return top
+
+    tags = iter(_Tags(html))
+    step = next(tags, None)
+    while step is not None:
+        start, end, name, closing, attributes = step
+        skip = None
+        links += add(html[at:start])
+        at = end
         if name in BLOCKS:
             if parts and (text := _space.sub(" ", unescape("".join(parts))).strip()):
                 yield text, links, bad > 0, article
             parts, links = [], 0
-        if closing:
+        if not name:
+            pass
+        elif closing:
             if name == "a":
                 in_link = 0
-            elif any(x[0] == name for x in open_):
-                while True:
-                    top, was_bad, before = open_.pop()
-                    bad -= was_bad
-                    article = before if top in ARTICLE else article
-                    if top == name:
-                        break
-            continue
-        if name == "a":
+            elif depth[name]:
+                while close() != name:
+                    pass
+        elif name == "a":
             in_link = 1
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
-        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
-            continue
-        if name == "p":  # a paragraph ends where the next begins
-            while open_ and open_[-1][0] in ("p", "b", "i", "em", "strong", "span"):
-                bad -= open_.pop()[1]
-        marked = name in SKIPPED or name not in ("html", "body") and _furniture(attributes)
-        if name == "header" and article and not _furniture(attributes):
-            marked = False  # the article's own heading
-        if name in BLOCKS or marked:
-            open_.append((name, marked, article))
-            bad += marked
-            if name in ARTICLE and not bad:
-                articles += 1
-                article = articles
+        elif name in RAW:
+            found = _raw_end[name].search(html, at)
+            at = skip = found.end() if found else n
+        elif name not in VOID and (name in BLOCKS or not attributes.endswith("/")):
+            if name == "p":  # a paragraph ends where the next begins
+                while open_ and open_[-1][0] in ("p", "b", "i", "em", "strong", "span"):
+                    close()
+            marked = name in SKIPPED or name not in ("html", "body") and _furniture(attributes)
+            if name == "header" and article and not _furniture(attributes):
+                marked = False  # the article's own heading
+            if name in BLOCKS or marked:
+                open_.append((name, marked, article))
+                depth[name] += 1
+                bad += marked
+                if name in ARTICLE and not bad:
+                    articles += 1
+                    article = articles
+        try:
+            step = tags.send(skip) if skip is not None else next(tags)
+        except StopIteration:
+            break
+    links += add(html[at:])
     if parts and (text := _space.sub(" ", unescape("".join(parts))).strip()):
         yield text, links, bad > 0, article
 

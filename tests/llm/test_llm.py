@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
+from html import unescape
+from html.parser import HTMLParser
 
 import brute
 import numpy as np
@@ -468,6 +471,117 @@ def test_html_blocks():
     assert html.main_text("<p>" * 2000) == ""
 
 
+@pytest.mark.parametrize("unit", ["<p x ", '<a "', "<!-- ", "<div>", '<a "> "', "<a '\">", "</x>", "<div></p>", "<script>", "< ", "&amp", "<![CDATA[", "<a '>\"<b ", '<div class="a'])
+def test_broken_markup_costs_time_in_proportion(unit):
+    took = []
+    for n in (1 << 18, 1 << 20):
+        page = (unit * (n // len(unit) + 1))[:n]
+        began = time.process_time()
+        html.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5 and took[1] < 20
+
+
+class Plain(HTMLParser):
+    """Blocks of a page by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.out, self.text, self.links, self.link, self.open, self.bad, self.article, self.articles = [], "", 0, False, [], 0, 0, 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join(unescape(self.text).split())
+        if text:
+            self.out.append((text, self.links, self.bad > 0, self.article))
+        self.text, self.links = "", 0
+
+    def data(self, raw):
+        self.text += raw
+        self.links += len(raw.strip()) if self.link else 0
+
+    def handle_data(self, raw):
+        if not any(x[0] in html.RAW for x in self.open[-1:]):
+            self.data(raw)
+
+    def handle_entityref(self, name):
+        self.data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.data(f"&#{name};")
+
+    def pop(self):
+        name, bad, before = self.open.pop()
+        self.bad -= bad
+        self.article = before if name in html.ARTICLE else self.article
+        return name
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.BLOCKS:
+            self.flush()
+        if tag == "a":
+            self.link = True
+            return
+        if tag in html.VOID:
+            return
+        raw = " ".join(k if v is None else f'{k}="{v}"' for k, v in attrs)
+        if tag == "p":
+            while self.open and self.open[-1][0] in ("p", "b", "i", "em", "strong", "span"):
+                self.pop()
+        furniture = html._furniture(" " + raw)
+        marked = tag in html.SKIPPED or tag not in ("html", "body") and furniture
+        if tag == "header" and self.article and not furniture:
+            marked = False
+        if tag in html.BLOCKS or marked:
+            self.open.append((tag, marked, self.article))
+            self.bad += marked
+            if tag in html.ARTICLE and not self.bad:
+                self.articles += 1
+                self.article = self.articles
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCKS:
+            self.flush()
+        if tag == "a":
+            self.link = False
+        elif any(x[0] == tag for x in self.open):
+            while self.pop() != tag:
+                pass
+
+
+def plain_text(page):
+    found = [(t, k, bad, home) for t, k, bad, home in Plain(page).out]
+    counts = [html._stop_words(t) for t, k, bad, _ in found if not bad and len(t) >= html.SHORT and k <= html.FEW_LINKS * len(t)]
+    foreign = sum(c[0] for c in counts) < html.LOW_STOP * sum(c[1] for c in counts)
+    first = [html.classify(t, k, bad, bool(home), foreign) for t, k, bad, home in found]
+    kept = []
+    for i, (text, _, _, home) in enumerate(found):
+        label = first[i]
+        if label == html.AMBIGUOUS:
+            sides = []
+            for ks in (range(i - 1, -1, -1), range(i + 1, len(found))):
+                sides += [(abs(k - i), first[k]) for k in ks if found[k][3] == home and first[k] != html.AMBIGUOUS and not (home and found[k][2])][:1]
+            if home:
+                label = html.GOOD if not sides or any(x[1] == html.GOOD for x in sides) else html.BAD
+            else:
+                label = min(sides, key=lambda x: x[0])[1] if sides else html.BAD
+        if label == html.GOOD:
+            kept.append(text)
+    return " ".join(kept)
+
+
+def test_pages_equal_a_second_implementation(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(220)
+    pages = {r.page_id: r.html for r in rows.collect()}
+    got = html.extract(rows.unionByName(spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-1, None, None)], rows.select("page_id", "url", "html").schema), allowMissingColumns=True)).collect()
+    assert len(got) == len(pages) + 3
+    for r in got:
+        assert r.text == (plain_text(pages[r.page_id]) if r.page_id >= 0 else "")
+        assert r.n_chars == len(r.text)
+
+
 def test_furniture_inside_an_article_decides_nothing():
     page = "<article><p>First short words.</p><div class=share>Share this</div><p>Second short words.</p></article>"
     assert html.main_text(page) == "First short words. Second short words."
