@@ -1,17 +1,19 @@
 """Embedding near-duplicates: PCA-ordered tiled comparison with early stopping.
 
 Vectors are scaled to length 1 and turned to their principal axes, so the leading
-dimensions hold most of what tells them apart. They are laid out along the first axis and
-cut into tiles; a pair of tiles is compared only if the gap between them along that axis allows a link. Inside, dot
+dimensions hold most of what tells them apart. They are sorted along the first axis, written, and
+cut into tiles. A tile goes to the workers (its size is fixed) and meets the tile itself and
+the vectors after it, as far along the axis as the gap allows a link: the written table is
+sorted, so the scan skips the rest. Nothing but what links is shuffled. Inside, dot
 products grow by blocks of leading dimensions; after each block the rest of a product is at
 most the product of the two suffix norms, and pairs whose bound cannot reach the threshold stop.
 Pairs left at the end are decided by the dot product of the original vectors in double
 precision over the product of their norms.
 
-Equal vectors are compared once and counted as often as they stand. A tile pair gives each
-vector's number of links and a spanning forest, never the list of all links, so a group
-of near copies costs rows in proportion to its size. The work is quadratic in the number of
-different vectors that lie close along the first axis.
+Equal vectors are compared once and counted as often as they stand. A tile and a batch of
+vectors give each vector's number of links and a spanning forest, never the list of all links, so a group
+of near copies costs rows in proportion to its size. Shuffle and disk are in proportion to the
+vectors; the arithmetic is quadratic in the number of different vectors that lie close along the first axis.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing.
 Vectors of different lengths never link: each length that two rows have is compared by itself. Rows that repeat an id with the
@@ -28,18 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, smallest
+from quillspark.sources import scratch
 
-#: Vectors of a tile, about; dimensions accumulated between two bounds.
-TILE, STEPS = 4096, (12, 20, 32)
+from .common import components, cut, drop, smallest
+
+#: Vectors of a tile, at most; bytes of a tile, at most; dimensions accumulated between two bounds.
+TILE, TILE_BYTES, STEPS = 8192, 16 << 20, (12, 20, 32)
+#: Tiles that one job compares.
+TILES_A_JOB = 8
 #: Slack of the bounds, for rounding: pairs are decided by exact products alone.
 SLACK = 1e-9
 ROWS = 256
+#: Bytes of vectors in one sorted file, about.
+FILE_BYTES = 8 << 20
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten() if hasattr(column, "flatten") else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """Vectors as rows of double precision, scaled by a power of two so that no norm overflows."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
 
 
 def axes(vectors: DataFrame, column: str, dim: int) -> np.ndarray:
@@ -62,7 +71,7 @@ def axes(vectors: DataFrame, column: str, dim: int) -> np.ndarray:
     return vectors_[:, np.argsort(-values)]
 
 
-def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked rows of two tiles; ``pa_`` and ``pb`` are the turned unit vectors."""
     dim = pa_.shape[1]
     cuts = [s for s in STEPS if s < dim]
@@ -80,9 +89,6 @@ def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, thresh
             x = np.hstack([x, rest_a[0][at : at + ROWS, None]])
         i, j = np.nonzero(x @ head >= threshold - SLACK)
         i += at
-        if same:
-            keep = i < j
-            i, j = i[keep], j[keep]
         for p in range(0, len(i), 1 << 16):
             ii, jj = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
             part, done = np.einsum("ij,ij->i", pa_[ii, :lead], pb[jj, :lead]), lead
@@ -101,8 +107,10 @@ def _links(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, thresh
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """``(key, n_links, component_id, kept)`` for each row of ``vectors``."""
-    # -0.0 becomes 0.0: groups take both as equal, the bytes that name a node do not
-    rows = vectors.select(F.col(key).alias("_key"), F.transform(F.col(column).cast("array<double>"), lambda c: c + F.lit(0.0)).alias("_x"))
+    # -0.0 becomes 0.0: equal numbers, equal bytes
+    wide = vectors.schema[column].dataType.elementType.simpleString()
+    kind = "float" if wide == "float" else "double"
+    rows = vectors.select(F.col(f"`{key}`").alias("_key"), F.transform(F.col(f"`{column}`").cast(f"array<{kind}>"), lambda c: c + F.lit(0.0).cast(kind)).alias("_x"))
     ok = F.coalesce(F.col("_x").isNotNull() & ~F.exists("_x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("_x", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("_ok", ok)
     lengths = rows.where("_ok").groupBy(F.size("_x").alias("d")).count().where("count > 1").orderBy("d").collect()
@@ -118,67 +126,79 @@ def _same_length(rows: DataFrame, key: str, dim: int, threshold: float, tile: in
     """``(key, n_links, component_id, kept)`` for rows ``(_key, _x)`` of usable vectors, all ``dim`` long."""
     spark = rows.sparkSession
     kind = rows.schema["_key"].dataType.simpleString()
-    # equal vectors once: smallest id, how many rows
-    once = cut(rows.groupBy("_x").agg(F.min("_key").alias("rep"), F.count("*").alias("k")))
-    turn = axes(once, "_x", dim)
-    n = once.count()
-    tiles = max(1, -(-n // tile))
+    numbers = rows.schema["_x"].dataType.simpleString()
+    # equal vectors once: smallest id, how many rows; two hashes name a vector
+    name = [F.xxhash64(F.lit(i), "_x").alias(f"h{i}") for i in range(2)]
+    once = cut(rows.select("_key", "_x", *name).groupBy("h0", "h1").agg(F.min("_key").alias("rep"), F.count("*").alias("k"), F.first("_x").alias("x")))
+    turn = axes(once, "x", dim)
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unit(batch.column(0), dim)
-            y = x / np.linalg.norm(x, axis=1)[:, None] @ turn
-            arrays = [pa.array(y[:, 0]), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["first", "rep", "k", "x", "y"])
-
-    # a node is named by the hash of its vector
-    flat = cut(once.select("_x", "rep", "k").mapInArrow(turned, f"first double, rep {kind}, k bigint, x binary, y binary"))
-    marks = flat.approxQuantile("first", [i / tiles for i in range(1, tiles)], 0.1 / tiles) if tiles > 1 else []
-    marks = sorted(set(marks))
-    place = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: F.col("first") > m)) if marks else F.lit(0)
-    placed = flat.withColumn("tile", place).withColumn("node", F.xxhash64("x"))
-    ends = {r[0]: (r[1], r[2]) for r in placed.groupBy("tile").agg(F.min("first"), F.max("first")).collect()}
-    gap = np.sqrt(2 - 2 * threshold) + 1e-6
-    names = sorted(ends)
-    pairs = [(a, b) for a in names for b in names if a <= b and ends[b][0] - ends[a][1] <= gap]
-    wanted: dict[int, list[int]] = {}
-    for p, (a, b) in enumerate(pairs):
-        for t in {a, b}:
-            wanted.setdefault(t, []).append(p)
-    by_tile = F.create_map(*(x for t in names for x in (F.lit(t), F.array(*map(F.lit, wanted[t])))))
-    shared = spark.sparkContext.broadcast(pairs)  # tile numbers only
-    dealt = placed.select(F.explode(F.element_at(by_tile, F.col("tile"))).alias("pair"), "tile", "node", "k", "x", "y")
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        a, b = shared.value[group.column("pair")[0].as_py()]
-        t = group.column("tile").to_numpy()
-        load = lambda c, keep: np.frombuffer(b"".join(group.column(c).filter(pa.array(keep)).to_pylist()), np.float64).reshape(-1, dim)
-        node, k = group.column("node").to_numpy(), group.column("k").to_numpy()
-        at_a, at_b = np.flatnonzero(t == a), np.flatnonzero(t == b)
-        xa, ya = load("x", t == a), load("y", t == a)
-        xb, yb = (xa, ya) if a == b else (load("x", t == b), load("y", t == b))
-        i, j = _links(xa, xb, ya, yb, threshold, a == b)
-        i, j = at_a[i], at_b[j]
-        links = np.bincount(i, k[j], len(t)) + np.bincount(j, k[i], len(t))
-        root = smallest(i, j, len(t))
-        some = np.flatnonzero(links > 0)
-        return pa.table({"node": node[some], "links": links[some].astype(np.int64), "to": node[root[some]]})
-
-    found = cut(dealt.groupBy("pair").applyInArrow(compare, "node bigint, links bigint, to bigint"))
+            x = _unit(batch.column(4), dim)
+            first = x / np.linalg.norm(x, axis=1)[:, None] @ turn[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], names=["h0", "h1", "rep", "k", "x", "first"])
+
+    files = max(1, -(-once.count() * dim * 8 // FILE_BYTES))
+    flat = once.mapInArrow(turned, f"h0 bigint, h1 bigint, rep {kind}, k bigint, x {numbers}, first double")
+    flat = cut(flat.repartitionByRange(files, "first").sortWithinPartitions("first").withColumn("node", F.monotonically_increasing_id()))
+    size = max(1, min(tile, TILE_BYTES // (8 * dim)))
+    part = F.struct(F.shiftright("node", 33).alias("part"), F.expr(f"(node & {(1 << 33) - 1}) div {size}").alias("piece"))
+    tiles = flat.groupBy(part.alias("tile")).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("first").alias("most")).orderBy("a").collect()
+    gap = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
+    path = scratch.new_path(spark)
+    columns = flat.select("node", "k", "x", "first")
+
+    def met(t) -> DataFrame:
+        """What one tile links with: itself and the vectors after it within the gap."""
+        own = columns.where(F.col("node").between(t.a, t.b)).toArrow().combine_chunks()
+        x = _unit(own.column("x").combine_chunks(), dim)
+        shared = spark.sparkContext.broadcast((own.column("node").to_numpy(), own.column("k").to_numpy(), x))
+        near = columns.where((F.col("node") >= t.a) & (F.col("first") <= t.most + gap))
+        return near.mapInArrow(_compare(shared, turn, dim, threshold), "node bigint, links bigint, to bigint")
+
+    for at in range(0, len(tiles), TILES_A_JOB):
+        found = [met(t) for t in tiles[at : at + TILES_A_JOB]]
+        together = found[0]
+        for more in found[1:]:
+            together = together.union(more)
+        together.write.mode("append").parquet(path)
+    found = spark.read.schema("node bigint, links bigint, to bigint").parquet(path)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found, "node", "to")
-    nodes = placed.select("node", "rep", "k", "x").join(counts, "node", "left").join(groups, "node", "left")
-    nodes = nodes.select("rep", "k", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "node")
+    nodes = flat.select("node", "h0", "h1", "rep", "k").join(counts, "node", "left").join(groups, "node", "left")
+    nodes = cut(nodes.select("h0", "h1", "rep", "k", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = nodes.join(least, "root").select("node", (F.col("links") + F.col("k") - 1).alias("n_links"), "component_id")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _unit(batch.column(1), dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["_key", "x"])
-
-    mine = rows.select("_key", "_x").mapInArrow(hashed, f"_key {kind}, x binary").select("_key", F.xxhash64("x").alias("node"))
-    return mine.join(named, "node").select(
+    named = nodes.join(least, "root").select("h0", "h1", (F.col("links") + F.col("k") - 1).alias("n_links"), "component_id")
+    drop(once)
+    return rows.select("_key", *name).join(named, ["h0", "h1"], "left").select(
         F.col("_key").alias(key), "n_links", "component_id", F.coalesce(F.col("_key") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
     )
+
+
+def _compare(shared, turn: np.ndarray, dim: int, threshold: float):
+    """Vectors of a scan against one tile: links of each vector, and a spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, k, x = shared.value
+        y = x / np.linalg.norm(x, axis=1)[:, None] @ turn
+        links = np.zeros(len(nodes), np.int64)
+        for batch in batches:
+            for p in range(0, batch.num_rows, len(nodes)):
+                part = batch.slice(p, len(nodes))
+                theirs, many, v = part.column(0).to_numpy(), part.column(1).to_numpy(), _unit(part.column(2), dim)
+                i, j = _links(v, x, v / np.linalg.norm(v, axis=1)[:, None] @ turn, y, threshold)
+                after = theirs[i] > nodes[j]  # each pair once, no vector with itself
+                i, j = i[after], j[after]
+                links += np.bincount(j, many[i], len(nodes)).astype(np.int64)
+                mine = np.bincount(i, k[j], len(theirs)).astype(np.int64)
+                if len(i):
+                    both, at = np.unique(np.concatenate((theirs[i], nodes[j])), return_inverse=True)
+                    root = both[smallest(at[: len(i)], at[len(i) :], len(both))]
+                    count = np.zeros(len(both), np.int64)
+                    count[np.searchsorted(both, theirs[mine > 0])] = mine[mine > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(count), pa.array(root)], names=["node", "links", "to"])
+        some = np.flatnonzero(links)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(links[some]), pa.array(nodes[some])], names=["node", "links", "to"])
+
+    return run

@@ -113,6 +113,25 @@ def test_vectors_equal_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in (900, 901, 902, 903))
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_in_many_tiles_and_files_equal_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(neardup_vectors, "FILE_BYTES", 16 << 10)
+    monkeypatch.setattr(neardup_vectors, "TILES_A_JOB", 3)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 24))
+    x = np.concatenate([base, base[:40] + rng.normal(scale=0.25, size=(40, 24)), np.repeat(base[:1], 60, axis=0), base[:1] + rng.normal(scale=0.1, size=(60, 24))]).astype(np.float32).astype(float)
+    if kind == "double":
+        x[5], x[200] = x[5] * 1e200, x[200] * 1e-200
+    rows = [(f"v{i:04}", v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame(rows, f"vec_id string, embedding array<{kind}>"), tile=32).collect()}
+    s = x / np.abs(x).max(axis=1)[:, None]
+    u = s / np.linalg.norm(s, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = brute.classes(list(range(len(x))), np.argwhere(near).tolist())
+    assert all((got[f"v{i:04}"].n_links, got[f"v{i:04}"].component_id) == (near[i].sum(), f"v{want[i]:04}") for i in range(len(x)))
+
+
 def test_vectors_with_negative_zero_stay(spark):
     rows = [(1, [1.0, -0.0, 0.5]), (2, [1.0, 0.0, 0.5]), (3, [-0.0, 1.0, -0.0]), (4, [-0.0, 0.0, -0.0])]
     got = neardup_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
