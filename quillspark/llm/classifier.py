@@ -1,14 +1,15 @@
 """Quality classifier: Naive Bayes log-count ratios under a linear support vector machine.
 
-Indicators of hashed n-grams (four-byte grams, words, word pairs) and of how many of the
-text's word pairs and triples repeat are scaled by their class
+Indicators of hashed n-grams (four-byte grams, words, word pairs) and, an extension of the
+method, of how many of the text's word pairs and triples repeat are scaled by their class
 log-count ratios; the linear hinge-loss model over them is fitted by dual coordinate
 descent, and a logistic curve maps its margin to a score from 0 to 1. The curve is fitted on a
 sample with as many rows of either class; the classes' counts over all labelled rows put
 the prior right.
 
 The fit sees at most :data:`MOST_TRAINING` labelled rows, those with the least hash of their
-key in each class (a documented bound; whole texts). Everything else covers all rows. Null and empty
+key in each class (a documented bound; whole texts). A key with both labels teaches nothing; of rows
+that repeat a key one is used. Everything else covers all rows. Null and empty
 texts have no indicators and get the score of the bare intercept. If the training rows
 hold one class only, or none, the score is that class's smoothed share for every text.
 """
@@ -133,12 +134,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, target: str, key: str = "doc_id", text: str = "text", most: int = MOST_TRAINING) -> Model:
     """Fit on at most ``most`` rows of ``labels``: those with the least hash of their key in each class."""
-    named = labels.select(F.col(key), F.col(target).cast("int").alias("_y")).where("_y in (0, 1)").where(F.col(key).isNotNull())
+    named = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{target}`").cast("int").alias("_y")).where("_y in (0, 1) AND _key IS NOT NULL")
+    named = named.groupBy("_key").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").drop("_most")
     chosen = None
     for y in (0, 1):
-        part = named.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(most // 2)
+        part = named.where(F.col("_y") == y).orderBy(F.xxhash64("_key"), "_key").limit(most // 2)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(key, text).join(F.broadcast(chosen.dropDuplicates([key])), key)
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_key")
+    # of rows that repeat a key the one with the least text hash: the bound holds, and the choice
+    rows = rows.groupBy("_key", "_y").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str, key: str = "doc_id",
             for i, j in slices(offsets, 1 << 21):
                 part = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 packed = pa.array([x.tobytes() for x in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], packed], names=[key, "y", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], packed], names=["key", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.select(key, text, "_y").mapInArrow(run, f"`{key}` {kind}, y int, x binary").collect()
+    got = rows.select("_key", "_text", "_y").mapInArrow(run, f"key {kind}, y int, x binary").collect()
     got.sort(key=lambda r: (str(r[0]), bytes(r[2])))  # the order of arrival must not matter
     model = fit([np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got]))
     sampled = np.bincount([r[1] for r in got], minlength=2)

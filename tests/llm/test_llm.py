@@ -615,6 +615,48 @@ def test_pages_in_languages_without_known_stop_words():
         assert html.main_text(page.format(text, text)) == f"{text} {text}"
 
 
+def test_fit_equals_plain_dual_coordinate_descent():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(3, 15))).astype(np.int32) for _ in range(120)]
+    y = np.array([int(np.isin(r, range(20)).sum() * 3 > len(r)) for r in rows])
+    model = classifier.fit(rows, y)
+    # plain form: count, ratio, then alpha by alpha until nothing moves
+    count = np.ones((2, classifier.SIZE))
+    for r, c in zip(rows, y, strict=True):
+        count[c][r] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    train = [i for i in range(120) if i % classifier.HELD_FOR_CURVE]
+    sign, cost = np.where(y > 0, 1.0, -1.0), np.where(y > 0, 120 / (2 * y.sum()), 120 / (2 * (120 - y.sum())))
+    dense = np.zeros((120, 61))
+    for i, r in enumerate(rows):
+        dense[i, r] = ratio[r] / np.sqrt(len(r))
+    dense[:, 60] = 1
+    alpha, w = np.zeros(120), np.zeros(61)
+    for _ in range(2000):
+        for i in train:
+            new = np.clip(alpha[i] - (sign[i] * (w @ dense[i]) - 1) / (dense[i] @ dense[i]), 0, cost[i])
+            w += (new - alpha[i]) * sign[i] * dense[i]
+            alpha[i] = new
+
+    def objective(v):
+        return v @ v / 2 + sum(cost[i] * max(0.0, 1 - sign[i] * (v @ dense[i])) for i in train)
+
+    mine = np.append(np.divide(model.weights[:60], ratio[:60], out=np.zeros(60), where=ratio[:60] != 0), model.intercept)
+    assert objective(mine) < 1.15 * objective(w)
+    assert np.corrcoef(dense @ mine, dense @ w)[0, 1] > 0.99
+
+
+def test_classifier_takes_conflicts_repeats_and_empty_tables(spark):
+    rows = [(i, "good words here" if i % 2 else "bad stuff there") for i in range(60)] + [(3, "other text")] * 2
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 0), (7, None), (None, 1), (9, 3)], "doc_id bigint, quality int")
+    one, two = (classifier.train(d, x, "quality") for d, x in ((docs, labels), (docs.repartition(5), labels.repartition(4))))
+    assert np.array_equal(one.weights, two.weights) and (one.intercept, one.slope, one.shift) == (two.intercept, two.slope, two.shift)
+    none = classifier.train(docs.limit(0), labels.limit(0), "quality")
+    assert classifier.score(docs.limit(0), none).count() == 0
+    assert {r.score for r in classifier.score(docs, none).collect()} == {0.5}
+
+
 def test_classifier_separates_held_out_rows(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of", "and", "cat"] if i % 2 else ["###", "buy", "now", "win"]) for _ in range(30))) for i in range(300)]
