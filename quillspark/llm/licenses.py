@@ -19,6 +19,8 @@ order only decides how much is verified, never the result. Input columns named a
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +92,24 @@ def frequencies(docs: DataFrame, templates: list[tuple[str, str]], text: str = "
     return dict.fromkeys(vocabulary, 0) | {r[0]: r[1] for r in counted.collect()}
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern that takes one of the words, longest first, testing no character twice."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        parts = [c + written(below) for c, below in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        return f"(?:{'|'.join(parts)})" + ("?" if "" in node else "")
+
+    return written(tree)
+
+
 def _places(ws: Column, phrase: list[str], label: str) -> Column:
     """Where the words of a phrase stand one after another: ``(i, label)`` structs."""
 
@@ -101,7 +121,7 @@ def _places(ws: Column, phrase: list[str], label: str) -> Column:
 
     positions = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), here)
     found = F.transform(positions, lambda i: F.struct(i.cast("long").alias("i"), F.lit(label).alias("label")))
-    return F.when(F.array_contains(ws, phrase[0]), found).otherwise(F.array().cast("array<struct<i:bigint,label:string>>"))
+    return F.when(reduce(and_, (F.array_contains(ws, w) for w in phrase)), found).otherwise(F.array().cast("array<struct<i:bigint,label:string>>"))
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, share: float = CONTAINED) -> DataFrame:
@@ -116,9 +136,8 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     # only texts that hold a prefix token or a phrase's first word are taken apart
     first = sorted({*index, *(p.split()[0] for p in PHRASES)})
     edge = r"0-9A-Za-z\x{80}-\x{10FFFF}"
-    wanted = rf"(?i)(?<![{edge}])(?:{'|'.join(first)})(?![{edge}])"
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    hit = F.when(value.rlike(wanted), value)
+    hit = F.when(F.lower(value).rlike(rf"(?<![{edge}]){_any_of(first)}(?![{edge}])"), value)
 
     def struct(k: int) -> Column:
         return F.struct(F.lit(k).alias("k"), F.lit(need(len(sets[k][1]), share)).alias("need"))
@@ -128,6 +147,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     ordered = F.array(*map(F.lit, order))  # every template token, rarest first
     prefix = F.array(*map(F.lit, sorted(index)))
     sizes = F.array(*(F.lit(len(tokens)) for _, tokens in sets))
+    needed = F.array(*map(struct, range(len(sets))))
 
     def matches(ws: Column, block: Column) -> Column:
         """``(template, containment)`` of one block."""
@@ -141,6 +161,11 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
         found = F.transform(F.array_distinct(F.flatten(met)), lambda c: F.struct(c["k"].alias("k"), F.size(F.array_intersect(held, F.element_at(all_sets, c["k"] + 1))).alias("m"), c["need"].alias("need")))
         return F.transform(F.filter(found, lambda c: c["m"] >= c["need"]), lambda c: F.struct(c["k"].alias("k"), (c["m"] / F.element_at(sizes, c["k"] + 1)).alias("c")))
 
+    def possible(ws: Column) -> Column:
+        """Whether the whole text holds enough tokens of any template: the length filter, once for all its blocks."""
+        held = F.array_intersect(ordered, ws)
+        return F.exists(needed, lambda c: F.size(F.array_intersect(F.element_at(all_sets, c["k"] + 1), held)) >= c["need"])
+
     def blocks(ws: Column) -> Column:
         """Blocks that hold a prefix token."""
         at = F.filter(F.transform(ws, lambda w, i: F.when(F.array_contains(prefix, w), F.floor(i / STEP).cast("int"))), lambda x: x.isNotNull())
@@ -154,7 +179,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     none = F.array().cast("array<struct<i:bigint,label:string>>")
     out = out.withColumn("_base", F.coalesce(F.flatten(F.array(*starts)), none))
     empty = F.array().cast("array<struct<k:int,c:double>>")
-    out = out.withColumn("_found", F.coalesce(F.flatten(F.transform(blocks(F.col("_ws")), lambda b: matches(F.col("_ws"), b))), empty))
+    out = out.withColumn("_found", F.coalesce(F.when(possible(F.col("_ws")), F.flatten(F.transform(blocks(F.col("_ws")), lambda b: matches(F.col("_ws"), b)))), empty))
     label_of = F.array(*(F.lit(label) for label, _ in sets))
     base = F.array_sort(F.array_distinct(F.col("_base.label")))
     more = F.transform("_found", lambda c: F.element_at(label_of, c["k"] + 1))
