@@ -131,7 +131,7 @@ def _send(n_frag: int, k: int):
                     c, d = many_at.get(f, (0, 0))
                     put(frag=f, block=block, many=many[c:d].astype(np.uint32).tobytes(), one=h[a:b].tobytes(), row=np.diff(row[a:b], prepend=0).astype(np.uint32).tobytes())
                 put(
-                    frag=-1 - block % n_frag, block=block, key=batch.column(0)[i:j].to_pylist(), t=batch.column(1)[i:j].to_numpy(zero_copy_only=False).astype(np.int64).tobytes(),
+                    frag=-1 - int(mix(np.array([block], np.uint64))[0] % U(n_frag)), block=block, key=batch.column(0)[i:j].to_pylist(), t=batch.column(1)[i:j].to_numpy(zero_copy_only=False).astype(np.int64).tobytes(),
                     cls=cls.astype(np.uint64).tobytes(), n=n.astype(np.int64).tobytes(), shared=shared.astype(np.int64).tobytes(),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in _SENT], schema=_SENT)
@@ -353,8 +353,23 @@ def _links(entries: DataFrame, segments: DataFrame, percent: int) -> DataFrame |
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``(key, t, n, component)`` for each row: n-grams and the smallest key reachable; ``t`` is a hash of the text."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    """``(key, t, n, component)`` for each row: n-grams and the smallest key reachable; ``t`` is a hash of the text.
+
+    Keys that are no whole numbers are numbered in their order first.
+    """
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
+    if rows.schema["key"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        names = cut(rows.select("key").where("key IS NOT NULL").distinct().orderBy("key").withColumn("_id", F.monotonically_increasing_id()))
+        same = F.col("key").eqNullSafe(F.col("_name"))
+        numbered = rows.join(names.select(F.col("key").alias("_name"), "_id"), same, "left").select(F.col("_id").alias("key"), "t", "text")
+        found = _classes(numbered, "number", k, percent)
+        own = found.join(names.select(F.col("_id").alias("number"), F.col("key").alias(key)), "number", "left")
+        least = names.select(F.col("_id").alias("component"), F.col("key").alias("_least"))
+        return own.join(least, "component", "left").select(F.col(f"`{key}`"), "t", "n", F.col("_least").alias("component"))
+    return _classes(rows.withColumn("key", F.col("key").cast("long")), key, k, percent)
+
+
+def _classes(rows: DataFrame, key: str, k: int, percent: int) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_frag = max(8, -(-size // FRAGMENT))
     sent = rows.mapInArrow(_send(n_frag, k), _SENT_SQL)
@@ -380,6 +395,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K
         segments = packed.mapInArrow(_segments, "cls bigint, part int, h array<bigint>")
         groups = _links(entries, segments, percent)
         drop(entries)
+        drop(packed)
     named = low.select("cls", "low")
     if groups is not None:
         named = named.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))

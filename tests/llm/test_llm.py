@@ -70,6 +70,13 @@ def test_repeated_rows_in_different_slices_count_once(spark):
     assert sorted(r.doc_id for r in kept) == sorted({i for i, _ in rows})
 
 
+def test_ngram_join_takes_ids_of_any_type_and_the_empty_text(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([("b10", text), ("b9", text), ("a", "other words stand here now"), (None, text), ("x", ""), ("y", None)], "doc_id string, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {"b10": (3, "b10"), "b9": (3, "b10"), "a": (1, "a"), None: (3, "b10"), "x": (0, "x"), "y": (0, "y")}
+
+
 def test_one_of_each_keeps_rows_without_words_and_all_columns(spark):
     kept = ngram_join.one_of_each(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "x y")]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
@@ -346,6 +353,21 @@ def test_line_end_is_seen_behind_padding():
     assert quality.line_fails("some words before the end" + " " * 80, 5)
 
 
+def test_quality_equals_its_sql_on_padded_repeated_and_long_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(14)
+    ends = [".", ":", " ;", '"', ")", "…", "", " |", "!!", " \t", "." + " " * 60, ":\t\t" + " " * 50, "é"]
+    line = lambda: " ".join(rng.choice(["home", "About", "words", "cookie", "policy", "and", "naïve", "#", "a.", "click here to"]) for _ in range(rng.randint(0, 14))) + rng.choice(ends)
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 9)))) for i in range(300)]
+    rows += [(900, None), (901, ""), (902, "long words of text stand here. " * 4000), (3, rows[3][1] + " "), (903, "a\r\nb\x0bc\x85d e f g h i j k.")]
+    unique = pd.DataFrame(rows, columns=["doc_id", "text"]).drop_duplicates("doc_id")
+    want = duckdb.query_df(unique, "documents", quality.sql()).fetchall()
+    got = quality.assess(frame(spark, list(unique.itertuples(index=False, name=None))), with_text=False).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_codec_equals_the_public_library(spark):
     import public_tokenizers
     import tiktoken
