@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, ngram_join, pii, quality
-from quillspark.llm.common import cut, table
+from quillspark.llm.common import cut, drop, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,9 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each but the last is written, and what it read goes then."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

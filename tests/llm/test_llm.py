@@ -722,3 +722,17 @@ def test_pipeline_equals_plain_python_stage_by_stage(spark, tmp_path):
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
     want = sorted((r.doc_id, known.encode_ordinary(r.text)) for r in mixed)
     assert sorted((r.doc_id, list(r.ids)) for r in seen[4].collect()) == want
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in whole) == want
+
+
+def test_pipeline_takes_empty_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    frame(spark, []).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    text = "The cat sat on the mat and looked at the dog that ran by the old house near the river."
+    frame(spark, [(1, text), (1, text), (2, text), (None, text + " And one more sentence of words stands here.")]).write.parquet(str(tmp_path / "some/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert {r.doc_id for r in got} <= {1, None}
+    assert sum(r.doc_id == 1 for r in got) <= 3
