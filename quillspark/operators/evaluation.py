@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.sources import files
 
 TIE = 1e-6
 RESAMPLES = 5000
@@ -58,10 +59,8 @@ def bootstrap(pairs: DataFrame, order: str, delta: str, seed: int, resamples: in
     Hash draws replace a random generator, so both engines agree. The evaluation set is
     numbered (it is small by its nature), and each resample is a partial sum by its number.
     """
-    from pyspark.sql import Window
-
     spark = pairs.sparkSession
-    numbered = pairs.select(F.row_number().over(Window.orderBy(order)).alias("i"), F.col(delta).alias("d"))
+    numbered = files.in_order(pairs.select(F.col(order).alias("o"), F.col(delta).alias("d")), "o", name="i").select((F.col("i") + 1).alias("i"), "d")
     n = numbered.agg(F.count("*").cast("int").alias("n")).where("n > 0")  # one row
     slots = spark.range(resamples).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n"))))
     index = draw(F.col("n"), F.lit(str(seed)), F.col("rep").cast("string"), F.col("slot").cast("string"))

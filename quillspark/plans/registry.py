@@ -699,4 +699,4 @@ k as (select doc_id from s order by turn, lang nulls last, o limit 50) select do
 def sample_in_key_order(spark, d):
     """A sample stands in the order of its keys."""
     rows = prompts.stratified_sample(docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", 50, SEED)
-    return files.with_position(scratch.cut(rows.coalesce(1)), "place").select("doc_id", (F.col("place") + 1).alias("place"))
+    return files.in_order(rows, "doc_id", name="place").select("doc_id", (F.col("place") + 1).alias("place"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark import schemas
+from quillspark.sources import scratch
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -70,7 +71,16 @@ def with_position(df: DataFrame, name: str = "source_row") -> DataFrame:
     Rows are counted by partition, and a partition's rows start behind those of the ones before it:
     each partition numbers its own, in order, and only the counts meet (one row a partition).
     """
-    marked = df.withColumn("_id", F.monotonically_increasing_id())
+    return numbered(df.withColumn("_id", F.monotonically_increasing_id()), name)
+
+
+def in_order(df: DataFrame, *keys: str, name: str) -> DataFrame:
+    """Number the rows of a table by ``keys`` from 0: sorted by ranges and written, so that no task sorts all."""
+    return numbered(scratch.cut(df.orderBy(*keys).withColumn("_id", F.monotonically_increasing_id())), name)
+
+
+def numbered(marked: DataFrame, name: str) -> DataFrame:
+    """Rows with rising ids ``_id`` (partition and place in it) numbered without gaps."""
     part = F.shiftright("_id", 33)
     counts = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
