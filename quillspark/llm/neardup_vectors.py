@@ -143,21 +143,22 @@ def _same_length(rows: DataFrame, key: str, dim: int, threshold: float, tile: in
     flat = cut(flat.repartitionByRange(files, "first").sortWithinPartitions("first").withColumn("node", F.monotonically_increasing_id()))
     size = max(1, min(tile, TILE_BYTES // (8 * dim)))
     part = F.struct(F.shiftright("node", 33).alias("part"), F.expr(f"(node & {(1 << 33) - 1}) div {size}").alias("piece"))
-    tiles = flat.groupBy(part.alias("tile")).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("first").alias("most")).orderBy("a").collect()
+    pieces = flat.groupBy(part.alias("tile")).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.max("first").alias("most"), F.count("*").alias("n"))
+    tiles = _tiles(pieces.orderBy("a").collect(), size)
     gap = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     path = scratch.new_path(spark)
     columns = flat.select("node", "k", "x", "first")
 
-    def met(t) -> DataFrame:
+    def met(a: int, b: int, most: float) -> DataFrame:
         """What one tile links with: itself and the vectors after it within the gap."""
-        own = columns.where(F.col("node").between(t.a, t.b)).toArrow().combine_chunks()
+        own = columns.where(F.col("node").between(a, b)).toArrow().combine_chunks()
         x = _unit(own.column("x").combine_chunks(), dim)
         shared = spark.sparkContext.broadcast((own.column("node").to_numpy(), own.column("k").to_numpy(), x))
-        near = columns.where((F.col("node") >= t.a) & (F.col("first") <= t.most + gap))
+        near = columns.where((F.col("node") >= a) & (F.col("first") <= most + gap))
         return near.mapInArrow(_compare(shared, turn, dim, threshold), "node bigint, links bigint, to bigint")
 
     for at in range(0, len(tiles), TILES_A_JOB):
-        found = [met(t) for t in tiles[at : at + TILES_A_JOB]]
+        found = [met(*t) for t in tiles[at : at + TILES_A_JOB]]
         together = found[0]
         for more in found[1:]:
             together = together.union(more)
@@ -175,6 +176,17 @@ def _same_length(rows: DataFrame, key: str, dim: int, threshold: float, tile: in
     )
 
 
+def _tiles(pieces: list, size: int) -> list[tuple[int, int, float]]:
+    """First and last node and farthest place of each tile: neighbouring pieces together, up to ``size`` vectors."""
+    tiles: list[list] = []
+    for r in pieces:
+        if tiles and tiles[-1][3] + r.n <= size:
+            tiles[-1][1:] = [r.b, max(tiles[-1][2], r.most), tiles[-1][3] + r.n]
+        else:
+            tiles.append([r.a, r.b, r.most, r.n])
+    return [tuple(t[:3]) for t in tiles]
+
+
 def _compare(shared, turn: np.ndarray, dim: int, threshold: float):
     """Vectors of a scan against one tile: links of each vector, and a spanning forest."""
 
