@@ -10,7 +10,10 @@ with each other, so a source's words come out near its target, not only its docu
 
 Draws are hashes of the document's key and text: reruns agree. The tree carries these, sizes and
 probabilities, never texts; each level is written, and what it settled joins the documents
-at the end. Documents without words carry no mass and are taken 0 times where their source has
+at the end. Units and levels are written in as many files as their rows need, not one for each
+shuffle partition: Hadoop's local file system starts processes (``chmod``) for each file, and a
+new one has its executor's pages until it runs, which counts that memory twice. ``docs`` are
+counted for this. Documents without words carry no mass and are taken 0 times where their source has
 words; a source without words has target 0. A null source is a source of its own and comes last.
 Rows that repeat source, key and text ask together: what their group is given is dealt out among
 them evenly, whole shares to each and the rest one by one. An empty table gives an empty result. Input
@@ -24,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, few
 
 #: Documents of a block, about.
 BLOCK = 64
@@ -106,7 +109,7 @@ def decide(units: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
 
     ``units`` has a row for each of them, with ``m`` rows of it in the corpus.
     """
-    largest = plan.agg(F.max("n_docs")).first()[0] or 0
+    largest, n = plan.agg(F.max("n_docs")).first()[0] or 0, units.count()
     asked = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("m")).otherwise(0.0)
     rows = units.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_asked", asked)
     base = F.floor(F.col("_asked") + TINY).cast("long")
@@ -128,7 +131,8 @@ def decide(units: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         order = F.struct((-F.col("row.size")).alias("s"), _draw(key, level, seed, "order").alias("o"), F.struct("row", "p", _draw(key, level, seed, "pair").alias("u")).alias("x"))
         blocks = level_units.groupBy("_source", "_block").agg(F.collect_list(order).alias("_all"))
         in_order = F.transform(F.sort_array("_all"), lambda v: v["x"])
-        folded = cut(blocks.select("_source", "_block", _trade(in_order, row_type).alias("_f")))
+        folded = cut(few(blocks.select("_source", "_block", _trade(in_order, row_type).alias("_f")), n))
+        n = folded.count()  # of each block one unit at most goes on
         settled = folded.select("_source", F.explode("_f.done").alias("d")).select("_source", "d.row", "d.extra")
         out = settled if out is None else out.union(settled)
         level_units = folded.where("_f.left is not null").select("_source", F.expr(f"_block div {BLOCK}").alias("_block"), F.col("_f.left.row").alias("row"), F.col("_f.left.p").alias("p"))
@@ -154,7 +158,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     """Columns ``keep`` of ``docs`` (all, unless named) with size, source_size, target and copies of each row."""
     names = [c for c in keep or docs.columns if c not in OWN]
     one = [F.col(f"`{source}`").alias("_source"), F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_t")]
-    units = cut(docs.select(*one, size_of(text).alias("_size")).groupBy("_source", "_key", "_t", "_size").agg(F.count("*").alias("m")))
+    found = docs.select(*one, size_of(text).alias("_size")).groupBy("_source", "_key", "_t", "_size").agg(F.count("*").alias("m"))
+    units = cut(few(found, docs.count()))
     plan = cut(targets(units, "_source", "_size", weights, most))
     decided = decide(units, plan, seed).withColumnsRenamed({"_source": "_s", "_key": "_k", "_t": "_h"})
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *one)

@@ -209,6 +209,30 @@ def test_mixing_targets_equal_pouring_and_repeats_are_dealt_out(spark):
         assert all(abs(taken[s] - want[s]) <= max(45, 0.05 * want[s]) for s in sizes)
 
 
+def test_mixing_writes_few_files_however_many_partitions(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = frame(spark, [(i, "w " * rng.randint(0, 40), rng.choice("aaab")) for i in range(6000)])
+    want = {r.doc_id: r.copies for r in mixing.mix(docs, keep=["doc_id"]).collect()}
+    written = []
+
+    def cut(df):
+        written.append(common.cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(mixing, "cut", cut)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.copies for r in mixing.mix(docs.repartition(40), keep=["doc_id"]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    assert len(written) >= 4 and max(len(t.inputFiles()) for t in written) <= 8
+
+
 def test_base_spans_and_hashes(spark):
     rng = random.Random(3)
     ab = "1234567890 ..--++@@ab()_%é😀\n5"
