@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,9 +21,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """All columns as strings: header, doubled quotes, line breaks in quotes, byte-order mark; empty fields stay empty."""
-    options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "enforceSchema": False}
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, absent: tuple[str, ...] = ()) -> DataFrame:
+    """All columns as strings: header, doubled quotes, line breaks in quotes, byte-order mark; empty fields stay empty.
+
+    In the columns ``absent`` a field without quotes and text is null; ``""`` is empty there too.
+    """
+    # Spark takes a text equal to the null value for null: one that no file holds
+    options = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8", "enforceSchema": False, "nullValue": f"absent-{uuid.uuid4().hex}"}
     header = spark.read.options(**options, inferSchema=False).csv(path)
     if schema is not None:
         wanted = [f.name for f in schema.fields]
@@ -30,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
         present = [c for c in wanted if c in header.columns]
     else:
         present = header.columns
-    return header.na.fill("", subset=[c for c in present if isinstance(header.schema[c].dataType, StringType)])
+    return header.na.fill("", subset=[c for c in present if c not in absent and isinstance(header.schema[c].dataType, StringType)])
 
 
 def read_json_array(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -14,9 +14,13 @@ from quillspark.sources import scratch
 BOM = "﻿"
 
 
-def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """Header and minimal quoting; ``single`` for reports that people open: one file, with a byte-order mark."""
-    options = {"header": True, "escape": '"', "emptyValue": ""}
+def write_csv(df: DataFrame, path: str, single: bool = False, quote_empty: bool = False) -> None:
+    """Header and minimal quoting, texts with the white space at their ends.
+
+    ``single`` for reports that people open: one file, with a byte-order mark. ``quote_empty``:
+    an empty text is ``""``, so that it differs from an absent value.
+    """
+    options = {"header": True, "escape": '"', "emptyValue": '""' if quote_empty else "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if not single:
         df.write.mode("overwrite").options(**options).csv(path)
         return

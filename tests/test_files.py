@@ -189,3 +189,13 @@ def test_command_lines(spark, tmp_path, capsys):
         options.CompareOptions(rm_model="m:f")
     with pytest.raises(ValueError, match="key"):
         compare.candidates.chat_client("qwen")
+
+
+def test_csv_keeps_ends_of_texts_and_absent_values(spark, tmp_path):
+    from quillspark.plans import registry
+
+    texts = [" a", "a ", "a\n", "\na", "\ta", "\r", "a\r\n", "\0a", "　a　", " ", "\n\n", "", None, '"', ' "a",\n', "a\r\nb"]
+    rows = [(i, t, [None, "", " en"][i % 3]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: (r.question, r.role, r.answer) for r in registry.csv_scan(spark, str(tmp_path)).collect()}
+    assert got == {str(i): (t, lang, "") for i, t, lang in rows}
