@@ -1,4 +1,4 @@
-"""Text functions as Column expressions, all inside the JVM but for n-grams (Arrow and NumPy)."""
+"""Text functions as Column expressions, inside the JVM but for n-grams, quality flags and overlap forms (Arrow and NumPy)."""
 
 from __future__ import annotations
 
@@ -39,8 +39,12 @@ def stable_id(prefix: str, text: Column) -> Column:
 
 
 def overlap_form(text: Column) -> Column:
-    """Lower-case text with CJK ideographs, ASCII letters and digits only."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x{4e00}-\x{9fff}A-Za-z0-9]", ""))
+    """Lower-case text with CJK ideographs, ASCII letters and digits only; null: empty."""
+
+    def run(x: pa.Array) -> pa.Array:
+        return grams.changed(x, grams.overlap_forms)
+
+    return F.arrow_udf(run, "string")(text)
 
 
 def bind(value: Column, body) -> Column:
@@ -74,11 +78,11 @@ def char_ngram_ids(text: Column, n: int = 3) -> Column:
     return F.arrow_udf(run, "array<bigint>")(text)
 
 
-def max_ngram_count(text: Column, n: int = 5) -> Column:
-    """How often the most frequent ``n``-character run stands in a text; none: 0."""
+def max_ngram_count(text: Column, n: int = 5, whole: bool = False) -> Column:
+    """How often the most frequent ``n``-character run stands in a text; none: 0. ``whole``: of its compact form."""
 
     def run(x: pa.Array) -> pa.Array:
-        return grams.most_frequent_count(x, n)
+        return grams.most_frequent_count(x, n, whole)
 
     return F.arrow_udf(run, "int")(text)
 
@@ -87,12 +91,16 @@ def has_repeated_span(text: Column) -> Column:
     return text.rlike(REPEATED_SPAN)
 
 
-def quality_flags(text: Column, min_chars: int = 80, max_chars: int = 700, repeats: int = 4) -> Column:
-    """Names of the rules a compacted text breaks, in fixed order; an empty one breaks that rule alone."""
-    n = F.length(text)
-    tests = [n < min_chars, n > max_chars, max_ngram_count(text) >= repeats, has_repeated_span(text)]
-    found = F.array_compact(F.array(*(F.when(t, F.lit(name)) for t, name in zip(tests, FLAGS[1:], strict=True))))
-    return F.when(text == "", F.array(F.lit(FLAGS[0]))).otherwise(found)
+def quality_flags(text: Column, min_chars: int = 80, max_chars: int = 700, repeats: int = 4, whole: bool = False) -> Column:
+    """Names of the rules a compacted text breaks, in fixed order; an empty one breaks that rule alone.
+
+    ``whole``: the text is compacted first, in the same pass.
+    """
+
+    def run(x: pa.Array) -> pa.Array:
+        return grams.flags(x, FLAGS, min_chars, max_chars, repeats, whole)
+
+    return F.arrow_udf(run, "array<string>")(text)
 
 
 def jaccard(shared: Column, left: Column, right: Column) -> Column:

@@ -127,7 +127,7 @@ def records(results: DataFrame, judge_model: str = "stand-in") -> DataFrame:
 
 def clean_candidates(candidates: DataFrame, min_chars: int = 80, max_chars: int = 700) -> DataFrame:
     """Candidates with one row a key and no quality flag (inferred from published counts)."""
-    ok = candidates.where(F.size(T.quality_flags(T.compact(F.col("answer")), min_chars, max_chars)) == 0)
+    ok = candidates.where(F.size(T.quality_flags(F.col("answer"), min_chars, max_chars, whole=True)) == 0)
     return ok.dropDuplicates(["prompt_id", "candidate_id"])
 
 
