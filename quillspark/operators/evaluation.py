@@ -30,7 +30,7 @@ def length_bands(rows: DataFrame, text: str, *by: str) -> DataFrame:
 
 def repetition(rows: DataFrame, text: str, *by: str) -> DataFrame:
     """Answers whose most frequent 5-gram stands 4 times (strong) or 8 times (extreme) or more."""
-    k = rows.select(*by, T.max_ngram_count(T.compact(F.col(text))).alias("k"))
+    k = rows.select(*by, T.max_ngram_count(F.col(text), whole=True).alias("k"))
     return k.groupBy(*by).agg(F.count("*").alias("answers"), F.count_if(F.col("k") >= 4).alias("strong"), F.count_if(F.col("k") >= 8).alias("extreme"))
 
 

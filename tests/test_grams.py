@@ -73,3 +73,13 @@ def test_flag_counts_are_one_pass_without_patterns(spark, tmp_path):
     assert "regexp_replace" not in plan
     assert "rlike" not in plan
     assert {tuple(r) for r in rows.collect()} == {("repeated_5gram", 1), ("repeated_span", 1)}
+
+
+def test_counts_hold_a_slice_and_not_the_batch(spark):
+    from quillspark.operators import evaluation
+
+    rows = long_texts()
+    assert peak_mb(lambda: grams.most_frequent_count(rows, 5)) < 40
+    found = evaluation.repetition(spark.createDataFrame([("ab" * 6,), ("a b " * 9,), (None,)], "t string"), "t")
+    assert tuple(found.first()) == (3, 2, 1)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
