@@ -46,17 +46,19 @@ def compare(spark: SparkSession, o: CompareOptions, base, tuned, judge=None) ->
 
 def audit_overlap(spark: SparkSession, evaluation_rows: DataFrame, training_rows: DataFrame, path: str) -> DataFrame:
     """The overlap report of (key, text, role) rows, written as CSV; returns the flagged count. ``role`` may be absent."""
-    found = overlap.matches(overlap.gram_sets(evaluation_rows, "key", "text"), overlap.gram_sets(training_rows, "key", "text"))
+    found = scratch.cut(overlap.matches(overlap.gram_sets(evaluation_rows, "key", "text"), overlap.gram_sets(training_rows, "key", "text")))
     sinks.write_csv(overlap_report(found, evaluation_rows, training_rows).orderBy("eval_key", "rank"), path, single=True)
     return overlap.flagged_count(found)
 
 
 def overlap_report(found: DataFrame, evaluation_rows: DataFrame, training_rows: DataFrame) -> DataFrame:
-    """Matches with both texts and roles."""
-    for side, rows in (("eval", evaluation_rows), ("train", training_rows)):
+    """Matches with both texts and roles; the training texts are not shuffled to meet a few matches."""
+    named = [c for c in found.columns if c not in ("train_key", "eval_key")]
+    found = scratch.few(found)
+    for side, rows in (("train", training_rows), ("eval", evaluation_rows)):
         role = F.col("role") if "role" in rows.columns else F.lit("")
-        found = found.join(rows.select(F.col("key").alias(f"{side}_key"), role.alias(f"{side}_role"), F.col("text").alias(f"{side}_question")), f"{side}_key")
-    return found
+        found = rows.select(F.col("key").alias(f"{side}_key"), role.alias(f"{side}_role"), F.col("text").alias(f"{side}_question")).join(found, f"{side}_key")
+    return found.select("train_key", "eval_key", *named, "eval_role", "eval_question", "train_role", "train_question")
 
 
 #: Answers asked for and written together.

@@ -7,6 +7,7 @@ import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -33,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a few columns that may go to every executor, once they are counted.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` written, and broadcast if it is counted to have few rows; what it joins with is then not shuffled."""
+    df = df if getattr(df, "_scratch_path", None) else cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`cut` that nothing reads any more."""
     if path := getattr(df, "_scratch_path", None):
