@@ -46,3 +46,14 @@ def test_pool_hands_on_no_sets_and_loses_no_row(spark):
     assert "ArrowEvalPython" not in plan(found)  # sets are made where they are counted
     got = sorted((r.eval_key, r.train_key, r.ngram_jaccard, r.pool_rank) for r in found.collect())
     assert got == sorted(plain_pool(tests, train, 3))
+
+
+@pytest.mark.parametrize("cells", [20, 2_000_000])
+def test_rows_passed_by_are_in_no_pool(spark, monkeypatch, cells):
+    tests, train, e, t = sides(spark, 1500)  # far more rows than are held: pools fill and rows are passed by
+    monkeypatch.setattr(overlap, "CELLS", cells)
+    shared = SimpleNamespace(value=overlap._index(e.selectExpr("key AS eval_key", "grams", "size").where("size > 0")).value)
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int32()), pa.array([x for _, x in part])], names=["train_key", "text"]) for part in (train[:700], train[700:])]
+    got = [(r["eval_key"], r["train_key"], r["ngram_jaccard"]) for b in overlap._best(shared, 4, 3)(iter(batches)) for r in b.to_pylist()]
+    want = [x[:3] for x in plain_pool(tests, train, 4) if x[2] > 0]
+    assert sorted(got) == sorted(want)
