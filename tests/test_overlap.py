@@ -57,3 +57,18 @@ def test_rows_passed_by_are_in_no_pool(spark, monkeypatch, cells):
     got = [(r["eval_key"], r["train_key"], r["ngram_jaccard"]) for b in overlap._best(shared, 4, 3)(iter(batches)) for r in b.to_pylist()]
     want = [x[:3] for x in plain_pool(tests, train, 4) if x[2] > 0]
     assert sorted(got) == sorted(want)
+
+
+@pytest.fixture
+def nothing_small(spark):
+    """No table counts as small by its size in bytes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_pool_goes_to_the_training_texts(spark, nothing_small):
+    _, _, e, t = sides(spark)
+    found = overlap.flagged(overlap.matches(e, t, 3))
+    assert "BroadcastHashJoin" in plan(found)
+    assert {r.rank for r in found.collect()} == {1}
