@@ -72,3 +72,17 @@ def test_a_pool_goes_to_the_training_texts(spark, nothing_small):
     found = overlap.flagged(overlap.matches(e, t, 3))
     assert "BroadcastHashJoin" in plan(found)
     assert {r.rank for r in found.collect()} == {1}
+
+
+def test_a_task_holds_a_slice_and_not_the_sets_of_a_batch(spark):
+    """8 million characters whose sets are 24 MB and more at once."""
+    _, _, e, _ = sides(spark, 1)
+    shared = SimpleNamespace(value=overlap._index(e.selectExpr("key AS eval_key", "grams", "size").where("size > 0")).value)
+    rng = random.Random(5)
+    texts = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4000)) for _ in range(50)] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int32()), pa.array(texts)], names=["train_key", "text"])
+    tracemalloc.start()
+    list(overlap._best(shared, 20, 3)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 60
