@@ -86,3 +86,12 @@ def test_a_task_holds_a_slice_and_not_the_sets_of_a_batch(spark):
     most = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert most < 60
+
+
+def test_matches_are_the_same_when_the_pool_is_not_small(spark, monkeypatch, nothing_small):
+    _, _, e, t = sides(spark, 100)
+    few = sorted(tuple(r) for r in overlap.matches(e, t, 4).collect())
+    monkeypatch.setattr(scratch, "FEW", 0)
+    many = overlap.matches(e, t, 4)
+    assert "BroadcastHashJoin" not in plan(many)
+    assert sorted(tuple(r) for r in many.collect()) == few
