@@ -95,3 +95,9 @@ def test_matches_are_the_same_when_the_pool_is_not_small(spark, monkeypatch, not
     many = overlap.matches(e, t, 4)
     assert "BroadcastHashJoin" not in plan(many)
     assert sorted(tuple(r) for r in many.collect()) == few
+
+
+def test_no_text_passes_a_pattern(spark):
+    _, _, e, t = sides(spark, 5)
+    for found in (overlap.best_matches(overlap.pool(e, t).selectExpr("*", "0.1D AS sequence_similarity")), t):
+        assert "regexp_replace" not in plan(found)
