@@ -101,3 +101,13 @@ def test_no_text_passes_a_pattern(spark):
     _, _, e, t = sides(spark, 5)
     for found in (overlap.best_matches(overlap.pool(e, t).selectExpr("*", "0.1D AS sequence_similarity")), t):
         assert "regexp_replace" not in plan(found)
+
+
+def test_a_report_goes_to_the_training_texts(spark, nothing_small):
+    tests, train, e, t = sides(spark, 50)
+    rows = [spark.createDataFrame(x, "key int, text string") for x in (tests, train)]
+    report = compare.overlap_report(overlap.best_matches(overlap.pool(e, t).selectExpr("*", "0.1D AS sequence_similarity")), *rows)
+    assert "BroadcastHashJoin" in plan(report)
+    got = report.collect()
+    assert len(got) == 21
+    assert all((r.eval_question, r.train_question) == (tests[r.eval_key][1], train[r.train_key][1]) for r in got)
