@@ -2,27 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillspark import schemas
+from quillspark.functions import grams
 from quillspark.functions import text as T
+from quillspark.sources import scratch
 
 #: Names of the reasons and of the policy.
 TOO_FEW, NO_NEGATIVE = "fewer_than_two_viable_answers", "no_hard_negative_in_margin_band"
 POLICY = "reference_first_then_top_sample_hard_negative"
 
 
+def unflagged(rows: DataFrame, text: str = "answer", min_chars: int = 80, max_chars: int = 700, repeats: int = 4) -> DataFrame:
+    """Rows whose text has no quality flag, with the compacted text ``_c``.
+
+    One pass over the texts in Arrow. Length is tested first, so only texts inside the band are
+    searched for repeats. Columns that cost something and are not needed here (a reward of the
+    text) are better added to what is left.
+    """
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, kept = grams.unflagged(batch.column(at), min_chars, max_chars, repeats)
+            if len(places):
+                chosen = pa.array(places)
+                yield pa.RecordBatch.from_arrays([*(c.take(chosen) for c in batch.columns), kept.cast(batch.column(at).type)], names=[*batch.schema.names, "_c"])
+
+    return rows.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in rows.schema.fields), StructField("_c", StringType())]))
+
+
 def viable(scored: DataFrame, min_chars: int = 80, max_chars: int = 700) -> DataFrame:
     """Answers with a reward and no quality flag, with their compacted text.
 
-    ``scored`` needs prompt_id, pos, is_ref, answer and reward. Length is tested first, so
-    only texts inside the band are searched for repeats; duplicates have equal flags, so the
-    filter may come before deduplication.
+    ``scored`` needs prompt_id, pos, is_ref, answer and reward. Duplicates have equal flags, so
+    the filter may come before deduplication.
     """
-    rows = scored.withColumn("_c", T.compact(F.col("answer"))).where(F.col("reward").isNotNull() & ~F.isnan("reward"))
-    rows = rows.where(F.length("_c").between(max(1, min_chars), max_chars))
-    return rows.where(F.size(T.quality_flags(F.col("_c"), min_chars, max_chars)) == 0)
+    return rewarded(unflagged(scored, "answer", min_chars, max_chars))
+
+
+def rewarded(rows: DataFrame) -> DataFrame:
+    """Rows with a reward."""
+    return rows.where(F.col("reward").isNotNull() & ~F.isnan("reward"))
 
 
 def deduplicate(rows: DataFrame) -> DataFrame:
@@ -81,7 +108,15 @@ def select_pairs(unique: DataFrame, min_margin: float = 0.5, max_margin: float =
 
 
 def with_answers(found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """Pairs whose two sides get ``columns`` of the rows of the same prompt and place."""
+    """Pairs whose two sides get ``columns`` of the rows of the same prompt and place.
+
+    The rows that a pair names are taken out first, in one pass; while the pairs are few, they go
+    to the rows and no text is shuffled.
+    """
+    found = scratch.cut(found)
+    sides = F.explode(F.array("chosen.pos", "rejected.pos"))
+    wanted = found.select("prompt_id", sides.alias("pos")).where("pos IS NOT NULL").distinct()
+    rows = scratch.cut(rows.select("prompt_id", "pos", *columns).join(scratch.few(wanted), ["prompt_id", "pos"]))
     for side in ("chosen", "rejected"):
         more = rows.select(F.col("prompt_id").alias("_p"), F.col("pos").alias("_s"), *(F.col(c).alias(f"_{c}") for c in columns))
         met = found.join(more, (F.col("prompt_id") == F.col("_p")) & (F.col(f"{side}.pos") == F.col("_s")), "left")

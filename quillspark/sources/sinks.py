@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,18 @@ BOM = "﻿"
 def write_csv(df: DataFrame, path: str, single: bool = False, quote_empty: bool = False) -> None:
     """Header and minimal quoting, texts with the white space at their ends.
 
-    ``single`` for reports that people open: one file, with a byte-order mark. ``quote_empty``:
-    an empty text is ``""``, so that it differs from an absent value.
+    ``single`` for reports that people open: one file, with a byte-order mark. No task has all rows:
+    executors write them in parts, which the file system's own copy puts one after another.
+    ``quote_empty``: an empty text is ``""``, so that it differs from an absent value.
     """
     options = {"header": True, "escape": '"', "emptyValue": '""' if quote_empty else "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if not single:
         df.write.mode("overwrite").options(**options).csv(path)
         return
-    named = df.toDF(*[BOM + c if i == 0 else c for i, c in enumerate(df.columns)])
-    named.coalesce(1).write.mode("overwrite").options(**options).csv(path)
+    spark, parts = df.sparkSession, scratch.new_path(df.sparkSession)
+    df.write.options(**options | {"header": False}).csv(parts)
+    header = ",".join('"' + c.replace('"', '""') + '"' if re.search(r'[",\r\n]', c) else c for c in df.columns)
+    _join(spark, parts, f"{path}/part-00000.csv", f"{BOM}{header}\n", "", replace=path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -59,22 +63,30 @@ def write_json_array(df: DataFrame, path: str) -> None:
     Executors write the rows with their separators; the file system's own copy puts those
     files under one pair of brackets. No row passes through the driver's Python.
     """
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    parts = scratch.new_path(spark)
+    spark, parts = df.sparkSession, scratch.new_path(df.sparkSession)
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.option("lineSep", ",\n").text(parts)
+    _join(spark, parts, path, "[\n", "\n]\n", "]\n", drop=2)  # the last separator stays behind
+
+
+def _join(spark: SparkSession, parts: str, path: str, before: str, after: str, nothing: str = "", drop: int = 0, replace: str | None = None) -> None:
+    """One file of the files that tasks wrote, in order, without the last ``drop`` bytes; ``nothing`` stands after ``before`` if they are empty.
+
+    The file system copies; no row passes through the driver's Python. ``replace`` is deleted first.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
-    source = folder.getFileSystem(conf)
+    source, target = folder.getFileSystem(conf), to.getFileSystem(conf)
     found = sorted((x.getPath().toString(), x.getLen()) for x in source.listStatus(folder) if x.getPath().getName().startswith("part-") and x.getLen())
-    out = to.getFileSystem(conf).create(to, True)
+    if replace is not None:
+        target.delete(jvm.org.apache.hadoop.fs.Path(replace), True)
+    out = target.create(to, True)
     try:
-        out.write(bytearray(b"[\n"))
+        out.write(bytearray(before.encode()))
         for k, (name, size) in enumerate(found):
             stream = source.open(jvm.org.apache.hadoop.fs.Path(name))
-            last = k == len(found) - 1  # its last separator stays behind
-            jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size - 2 if last else size)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, size - drop if k == len(found) - 1 else size)
             stream.close()
-        out.write(bytearray(b"\n]\n" if found else b"]\n"))
+        out.write(bytearray((after if found else nothing).encode()))
     finally:
         out.close()
 
