@@ -66,3 +66,17 @@ def test_a_log_is_replaced_by_records_worked_out_once(spark, tables, monkeypatch
     monkeypatch.setattr(registry, "results", lambda *a, **b: asked.append(1) or real(*a, **b))
     assert registry.preference_log_replaced(spark, tables).count() == 3
     assert len(asked) == 1
+
+
+def test_viable_answers_are_found_in_one_pass(spark, tables):
+    found = registry.viable_documents(spark, tables)
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().lower().split("mapinarrow")
+    assert "md5" in above
+    assert "md5" not in below
+    assert "regexp_replace" not in below
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    c = T.compact(F.col("text"))
+    plain = spark.createDataFrame([(k, t) for k, t in rows.items()], "doc_id long, text string").where(F.length(c).between(80, 700) & (T.max_ngram_count(c) < 4) & ~T.has_repeated_span(c))
+    want = {(r.doc_id, r.reward) for r in plain.select("doc_id", judging.stand_in_reward(F.col("text")).alias("reward")).collect()}
+    assert {(r.doc_id, r.reward) for r in found.collect()} == want
+    assert len(want) == 32
