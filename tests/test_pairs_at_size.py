@@ -80,3 +80,7 @@ def test_viable_answers_are_found_in_one_pass(spark, tables):
     want = {(r.doc_id, r.reward) for r in plain.select("doc_id", judging.stand_in_reward(F.col("text")).alias("reward")).collect()}
     assert {(r.doc_id, r.reward) for r in found.collect()} == want
     assert len(want) == 32
+
+
+def test_only_viable_answers_are_scored(spark, tables):
+    assert registry.unique(spark, tables, short_only).count() == registry.dedup_preferred(spark, tables).count() > 0
