@@ -84,3 +84,8 @@ def test_viable_answers_are_found_in_one_pass(spark, tables):
 
 def test_only_viable_answers_are_scored(spark, tables):
     assert registry.unique(spark, tables, short_only).count() == registry.dedup_preferred(spark, tables).count() > 0
+
+
+def test_counts_score_only_viable_answers(spark, tables):
+    rows = registry.results(spark, tables, reward=short_only).where("margin IS NOT NULL")
+    assert preference.count_map(rows, "prompt_id", "n").first().n == {"p0": 1, "p1": 1, "p2": 1}
