@@ -89,3 +89,14 @@ def test_only_viable_answers_are_scored(spark, tables):
 def test_counts_score_only_viable_answers(spark, tables):
     rows = registry.results(spark, tables, reward=short_only).where("margin IS NOT NULL")
     assert preference.count_map(rows, "prompt_id", "n").first().n == {"p0": 1, "p1": 1, "p2": 1}
+
+
+def test_pairs_go_to_the_answers(spark, tables, nothing_small):
+    seen, real = [], scratch.cut
+    try:
+        scratch.cut = lambda df: seen.append(plan(df)) or real(df)
+        found = preference.with_answers(pairs_of(spark, tables, False), registry.answers(spark, tables), "answer").collect()
+    finally:
+        scratch.cut = real
+    assert [p for p in seen if "BroadcastHashJoin" in p and "answer" in p]
+    assert all(r.chosen.answer and r.rejected.answer for r in found)
