@@ -100,3 +100,8 @@ def test_pairs_go_to_the_answers(spark, tables, nothing_small):
         scratch.cut = real
     assert [p for p in seen if "BroadcastHashJoin" in p and "answer" in p]
     assert all(r.chosen.answer and r.rejected.answer for r in found)
+
+
+def test_margins_need_no_reward_of_flagged_answers(spark, tables):
+    rows = registry.results(spark, tables, reward=short_only).where("margin IS NOT NULL")
+    assert preference.statistics(rows, "margin").collect() == registry.pair_margin_stats(spark, tables).collect()
