@@ -105,3 +105,10 @@ def test_pairs_go_to_the_answers(spark, tables, nothing_small):
 def test_margins_need_no_reward_of_flagged_answers(spark, tables):
     rows = registry.results(spark, tables, reward=short_only).where("margin IS NOT NULL")
     assert preference.statistics(rows, "margin").collect() == registry.pair_margin_stats(spark, tables).collect()
+
+
+def test_answers_are_the_same_when_pairs_are_many(spark, tables, monkeypatch, nothing_small):
+    few = sorted(registry.preference_pairs_decimal_no_fallback(spark, tables).collect())
+    monkeypatch.setattr(scratch, "FEW", 0)
+    assert sorted(registry.preference_pairs_decimal_no_fallback(spark, tables).collect()) == few
+    assert few
