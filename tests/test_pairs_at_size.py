@@ -112,3 +112,8 @@ def test_answers_are_the_same_when_pairs_are_many(spark, tables, monkeypatch, no
     monkeypatch.setattr(scratch, "FEW", 0)
     assert sorted(registry.preference_pairs_decimal_no_fallback(spark, tables).collect()) == few
     assert few
+
+
+def test_answers_are_taken_out_once(spark, tables):
+    assert "documents.parquet" not in plan(registry.dpo_rows(spark, tables))  # only what pairs name is read again
+    assert registry.dpo_rows(spark, tables).count() == 3
