@@ -71,7 +71,7 @@ def write_json_array(df: DataFrame, path: str) -> None:
 def _join(spark: SparkSession, parts: str, path: str, before: str, after: str, nothing: str = "", drop: int = 0, replace: str | None = None) -> None:
     """One file of the files that tasks wrote, in order, without the last ``drop`` bytes; ``nothing`` stands after ``before`` if they are empty.
 
-    The file system copies; no row passes through the driver's Python. ``replace`` is deleted first.
+    The file system copies; no row passes through the driver's Python. ``replace`` is deleted first, the parts at the end.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
@@ -89,6 +89,7 @@ def _join(spark: SparkSession, parts: str, path: str, before: str, after: str, n
         out.write(bytearray((after if found else nothing).encode()))
     finally:
         out.close()
+    source.delete(folder, True)
 
 
 def markdown(title: str, items: Iterable[tuple[str, object]], notes: Iterable[str] = ()) -> str:
